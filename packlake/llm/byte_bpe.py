@@ -20,6 +20,8 @@ from . import common
 
 #: Distinct pre-tokens whose ids a worker remembers before it starts afresh: bounds its memory, not what is encoded.
 CACHE = 400_000
+#: Characters of text cut into pre-tokens at a time.
+PORTION = 1_000_000
 
 
 def printable_bytes() -> list[str]:
@@ -82,29 +84,26 @@ class ByteBpe:
         self._shown = {b: c for b, c in enumerate(printable_bytes())}
         self._known: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self._known) + len(words) > CACHE:
-            self._known = {}
-        shown = [w.encode().decode("latin-1").translate(self._shown) for w in words]
+    def _learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self._known]
+        if len(self._known) + len(new) > CACHE:
+            self._known, new = {}, list(words)
+        shown = [w.encode().decode("latin-1").translate(self._shown) for w in new]
         of_piece = self._of_piece
-        for word, pieces in zip(words, self._model.encode(shown, num_threads=1), strict=True):
+        for word, pieces in zip(new, self._model.encode(shown, num_threads=1), strict=True):
             self._known[word] = struct.pack(f"<{len(pieces)}I", *[of_piece[p] for p in pieces])
 
-    def encode_packed(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        words = self._find(text)
-        try:
-            return b"".join(map(self._known.__getitem__, words))
-        except KeyError:
-            distinct = list(dict.fromkeys(words))
-            new = [w for w in distinct if w not in self._known]
-            if len(self._known) + len(new) > CACHE:
-                new = distinct
-            self._learn(new)
-            return b"".join(map(self._known.__getitem__, words))
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for part in common.portions(texts, PORTION):
+            words = [self._find(t) for t in part]
+            self._learn(set().union(*words))
+            out += [b"".join(map(self._known.__getitem__, w)) for w in words]
+        return out
 
     def encode(self, text: str) -> list[int]:
-        packed = self.encode_packed(text)
+        (packed,) = self.encode_packed([text])
         return list(struct.unpack(f"<{len(packed) // 4}I", packed))
 
     def decode_packed(self, packed: bytes) -> bytes:
@@ -137,7 +136,7 @@ def encode(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", ou
 
     def make():
         codec = _codec(shared, pattern)
-        return lambda texts: [pa.array([codec.encode_packed(t) if t else b"" for t in texts.to_pylist()], pa.binary())]
+        return lambda texts: [pa.array(codec.encode_packed([t or "" for t in texts.to_pylist()]), pa.binary())]
 
     return common.map_arrow(df, [common.quoted(text).cast("string")], [(out, T.BinaryType())], make, df.columns)
 

@@ -23,6 +23,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def portions(texts: list, most: int) -> Iterator[list]:
+    """`texts` in runs of about `most` characters or bytes; a longer text makes a run of its own."""
+    part: list = []
+    size = 0
+    for t in texts:
+        if part and size + len(t) > most:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def unique_name(taken: list[str], name: str) -> str:
     """`name`, with underscores in front until no column of that name (in any case) exists."""
     low = {c.lower() for c in taken}
