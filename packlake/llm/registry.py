@@ -1,8 +1,8 @@
 """The queries of this subpackage, and SQL that gives the same rows where SQL can."""
 
-from . import byte_bpe, token_counts
+from . import byte_bpe, html_text, simhash, token_counts
 
-MODULES = [byte_bpe, token_counts]
+MODULES = [simhash, token_counts, html_text, byte_bpe]
 
 
 def queries() -> dict:
