@@ -1,8 +1,8 @@
 """The queries of this subpackage, and SQL that gives the same rows where SQL can."""
 
-from . import byte_bpe, html_text, simhash, token_counts
+from . import byte_bpe, html_text, licenses, sharding, simhash, token_counts
 
-MODULES = [simhash, token_counts, html_text, byte_bpe]
+MODULES = [sharding, licenses, simhash, token_counts, html_text, byte_bpe]
 
 
 def queries() -> dict:
@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {name: sql for m in MODULES for name, sql in getattr(m, "ORACLES", {}).items()}
+    return {name: sql for m in MODULES if hasattr(m, "oracles") for name, sql in m.oracles().items()}
