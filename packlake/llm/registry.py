@@ -1,8 +1,8 @@
 """The queries of this subpackage, and SQL that gives the same rows where SQL can."""
 
-from . import byte_bpe, html_text, licenses, sharding, simhash, syncmers, token_counts
+from . import byte_bpe, html_text, licenses, sharding, simhash, syncmers, token_counts, toxicity
 
-MODULES = [sharding, licenses, simhash, token_counts, syncmers, html_text, byte_bpe]
+MODULES = [sharding, licenses, toxicity, simhash, token_counts, syncmers, html_text, byte_bpe]
 
 
 def queries() -> dict:
