@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Distinct pre-tokens whose ids a worker remembers before it starts afresh: bounds its memory, not what is encoded.
-CACHE = 400_000
+CACHE = 300_000
 #: Characters of text cut into pre-tokens at a time.
 PORTION = 1_000_000
 
@@ -153,6 +153,24 @@ def decode(df: DataFrame, rank_file: bytes, pattern: str, ids: str = "ids", out:
     return common.map_arrow(df, [common.quoted(ids)], [(out, T.BinaryType())], make, df.columns)
 
 
+def round_trip(df: DataFrame, rank_file: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """`df` with both columns, of encode() and of decode() of what it gave, made by one worker for each task."""
+    _free(df, ids)
+    _free(df, decoded)
+    shared = df.sparkSession.sparkContext.broadcast(rank_file)
+
+    def make():
+        codec = _codec(shared, pattern)
+
+        def run(texts):
+            packed = codec.encode_packed([t or "" for t in texts.to_pylist()])
+            return [pa.array(packed, pa.binary()), pa.array(list(map(codec.decode_packed, packed)), pa.binary())]
+
+        return run
+
+    return common.map_arrow(df, [common.quoted(text).cast("string")], [(ids, T.BinaryType()), (decoded, T.BinaryType())], make, df.columns)
+
+
 def _free(df: DataFrame, out: str) -> None:
     if out.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the table already has a column {out}")
@@ -165,8 +183,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         rank_file = f.read()
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode(docs, rank_file, public_tokenizers.PATTERN).drop("text")
-    both = decode(coded, rank_file, public_tokenizers.PATTERN)
+    both = round_trip(docs, rank_file, public_tokenizers.PATTERN)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of input, about, that a Python worker turns into Python objects at a time.
+SLICE = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,7 +72,10 @@ def map_arrow(
             if not batch.num_rows:
                 continue
             f = f or make()
-            out = f(*batch.columns[n_keep:])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *out], names=[s.name for s in schema.fields])
+            rows = max(1, batch.num_rows * SLICE // max(SLICE, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                out = f(*part.columns[n_keep:])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], *out], names=[s.name for s in schema.fields])
 
     return kept.mapInArrow(run, schema)
