@@ -1,8 +1,8 @@
 """The queries of this subpackage, and SQL that gives the same rows where SQL can."""
 
-from . import byte_bpe, decontaminate, html_text, licenses, sharding, simhash, syncmers, token_counts, toxicity
+from . import byte_bpe, decontaminate, html_text, licenses, ngram_lm, sharding, simhash, syncmers, token_counts, toxicity
 
-MODULES = [sharding, licenses, toxicity, simhash, token_counts, decontaminate, syncmers, html_text, byte_bpe]
+MODULES = [sharding, licenses, toxicity, simhash, token_counts, decontaminate, syncmers, ngram_lm, html_text, byte_bpe]
 
 
 def queries() -> dict:
