@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +75,32 @@ def fingerprints(texts: list[bytes], size: int, seed: int = 42) -> np.ndarray:
     return out
 
 
+def word_set_fingerprints(texts: list[bytes], seeds: list[int]) -> list[np.ndarray]:
+    """SimHash of the distinct words of each text, for several seeds."""
+    from xxhash import xxh64_intdigest
+
+    out = [np.zeros(len(texts), np.uint64) for _ in seeds]
+    for i, text in enumerate(texts):
+        words = set(text.lower().split())
+        if words:
+            base = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+            for k, seed in enumerate(seeds):
+                h = (base ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                out[k][i] = _majority(h ^ (h >> np.uint64(32)))
+    return out
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text; a text of fewer words is one shingle."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    if len(words) <= size:
+        return np.array([xxh64_intdigest(b" ".join(words))], np.uint64)
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + size])) for i in range(len(words) - size + 1)), np.uint64, len(words) - size + 1))
+
+
 def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 65_536):
@@ -252,6 +278,80 @@ def near_duplicates(
     return prints.join(of_value, prints.simhash == of_value.v).select(F.col("id").alias(id), "simhash", "component")
 
 
+def keep_one(
+    df: DataFrame, size: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (1, 2, 3), radius: int = 4, id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of `df`, with all their columns, that stay when of each group of near duplicates one does: the one of
+    the smallest id. Texts are near duplicates if the Jaccard likeness of their sets of `size`-word shingles is at least
+    `similarity`; groups are what such pairs connect.
+
+    Shingles of several words change too much with one word for a radius of a few bits, so candidates come from SimHash
+    of the distinct words, under several seeds; every candidate pair is then compared by its shingles. Equal texts are
+    one node from the start. Of repeated rows one stays. Null and empty texts are equal texts. Rows without an id are
+    only compared for equal texts, and yield to rows with one. An empty table gives an empty table.
+    """
+    value = [f"v{s}" for s in seeds]
+    plain = F.coalesce(common.quoted(text).cast("string"), F.lit(""))
+    key = [F.xxhash64(plain).alias("k1"), F.xxhash64(plain, F.lit(1)).alias("k2")]
+    mine = df.select(common.quoted(id).cast("long").alias("id"), *key, plain.alias("text"))
+
+    def make():
+        def run(texts):
+            got = texts.to_pylist()
+            found = [word_set_fingerprints(part, list(seeds)) for part in common.portions(got, PORTION)]
+            return [pa.array(np.concatenate(c).view(np.int64)) for c in zip(*found, strict=True)]
+
+        return run
+
+    prints = common.checkpoint(common.map_arrow(mine, [F.col("text").cast("binary")], [(v, T.LongType()) for v in value], make, ["id", "k1", "k2"]))
+    texts = prints.groupBy("k1", "k2").agg(F.min("id").alias("node"), *[F.first(v).alias(v) for v in value])
+    texts = common.checkpoint(texts)
+    pairs = None
+    for v in value:
+        by = texts.where("node is not null").groupBy(F.col(v).alias("v")).agg(F.min("node").alias("least"))
+        by = common.checkpoint(by)
+        same = texts.join(by, texts[v] == by.v).where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        near = links(by.select("v"), radius)
+        left, right = by.select(F.col("v").alias("a"), F.col("least").alias("na")), by.select(F.col("v").alias("b"), F.col("least").alias("nb"))
+        near = near.join(left, "a").join(right, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+        found = same.union(near)
+        pairs = found if pairs is None else pairs.union(found)
+    pairs = common.checkpoint(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    roots = components(_alike(mine, pairs, size, similarity))
+    texts = texts.join(roots, "node", "left").where(F.col("root").isNull() | (F.col("root") == F.col("node")))
+    stay = texts.select(F.col("node").alias("__node"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
+    same = (key[0] == F.col("__k1")) & (key[1] == F.col("__k2")) & common.quoted(id).cast("long").eqNullSafe(F.col("__node"))
+    once = Window.partitionBy("__k1", "__k2", "__node").orderBy(F.lit(0))
+    kept = df.join(stay, same).withColumn("__row", F.row_number().over(once)).where("__row = 1")
+    return kept.select(*map(common.quoted, df.columns))
+
+
+def _alike(texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids whose shingles are alike. texts: (id, text), equal texts under an id being equal too."""
+    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+    def sets(batches):
+        for batch in batches:
+            packed = [shingle_set((t or "").encode(), size).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "shingles"])
+
+    mine = texts.select("id", "text").join(involved, "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
+    mine = common.checkpoint(mine.dropDuplicates(["id"]))
+    both = pairs.join(mine.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = both.join(mine.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+
+    def compare(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                common_ = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
+                good.append(common_ >= similarity * (len(p) + len(q) - common_))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -246,16 +246,19 @@ def examples(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     return [r.words for r in rows], [r.label for r in rows], [r.id for r in rows], toxic / total
 
 
-def score(df: DataFrame, index: Index, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (all by default) with score double, evidence array<long> and evidence_cosine array<double>.
+def score(
+    df: DataFrame, index: Index, text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("score", "evidence", "evidence_cosine")
+) -> DataFrame:
+    """The columns `keep` (all by default) with score double, evidence array<long> and evidence_cosine array<double>,
+    or of other names.
 
     A text without words (null, empty, or without letters) has no neighbours: its score is what the share of toxic rows
     gives. Without examples of both classes every score is that share. Repeated rows stay; an empty table gives an empty
     table; columns of these names must not be there yet.
     """
     keep = df.columns if keep is None else keep
-    new = [("score", T.DoubleType()), ("evidence", T.ArrayType(T.LongType())), ("evidence_cosine", T.ArrayType(T.DoubleType()))]
-    if {n for n, _ in new} & {c.lower() for c in keep}:
+    new = list(zip(names, [T.DoubleType(), T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())], strict=True))
+    if {n.lower() for n in names} & {c.lower() for c in keep}:
         raise ValueError("the table already has a column of that name")
     shared = df.sparkSession.sparkContext.broadcast(index)
 
@@ -275,6 +278,12 @@ def score(df: DataFrame, index: Index, text: str = "text", keep: list[str] | Non
     return common.map_arrow(df, [common.quoted(text).cast("string")], new, make, keep)
 
 
+def keep_harmless(df: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `df`, with all their columns, whose score is below the threshold."""
+    names = tuple(common.unique_name(df.columns, n) for n in ("score", "evidence", "evidence_cosine"))
+    return score(df, index, text, names=names).where(common.quoted(names[0]) < threshold).select(*map(common.quoted, df.columns))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
