@@ -25,7 +25,7 @@ from . import common
 #: What separates words, after A-Z have become lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Characters that become an ASCII letter in lower case though they aren't ASCII: texts with them take the slow way.
-ODD = ("İ", "K")
+ODD = ("\u0130", "\u212a")
 MOST_PAIRS = 50_000
 #: Diagonals this near to each other belong to one span.
 NEAR = 4
