@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import PackError
 from ..functions.payload import kind_of
+from .numbering import numbered
 
 
 def measure(df: DataFrame, column: str, order: str, sample: int = 32) -> DataFrame:
@@ -17,9 +18,8 @@ def measure(df: DataFrame, column: str, order: str, sample: int = 32) -> DataFra
     step is rows // sample. Nulls aren't measured; the mean is rounded down; kinds are the first three by name."""
     rows = df.count()
     step = max(rows // sample, 1)
-    place = F.row_number().over(Window.orderBy(order)) - 1
     # the places are found among the order column alone; payloads are joined for the sample only
-    chosen = df.select(order).withColumn("__place", place).where((F.col("__place") % step == 0) & (F.col("__place") < step * sample)).select(order)
+    chosen = numbered(df.select(order), order).where((F.col("__row") % step == 0) & (F.col("__row") < step * sample)).select(order)
     payload = df.join(F.broadcast(chosen), order, "left_semi").select(F.col(column).alias("p")).where("p is not null")
     kinds = F.slice(F.sort_array(F.collect_set(F.when(F.octet_length("p") > 0, kind_of("p")))), 1, 3)
     size = F.octet_length("p").cast("long")
