@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW = 8
+WINDOW = 6
 #: Words below which an item can't be told from chance and is not looked for; shorter ones than WINDOW use all words.
 LEAST_WORDS = 5
 #: Words of a window that must not be placeholders.
-LITERALS = 4
-#: An item is in a document if this share of its windows is, or so many of its words in a row.
-SHARE, RUN = 0.5, 13
+LITERALS = 3
+#: An item is in a document if this share of its windows is, and more words than chance gives unless all of it is; or so
+#: many of its words in a row.
+SHARE, LEAST_FOUND, RUN = 0.4, 9, 13
 #: Share of the placeholder values on an offset that must agree.
 AGREE = 0.8
 #: Windows of the benchmark up to which their hashes are sent to all tasks as a filter before the join.
@@ -232,7 +233,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
         F.every("verbatim").alias("verbatim"),
     )
     found = found.join(total, "item").withColumn("coverage", F.least(F.lit(1.0), F.col("found") / F.col("windows")))
-    return found.where((F.col("coverage") >= SHARE) | (F.col("run") >= RUN)).select("id", "unit", "item", "coverage", "run", "agreement", "verbatim")
+    enough = (F.col("coverage") >= SHARE) & ((F.col("found") + WINDOW - 1 >= LEAST_FOUND) | (F.col("coverage") == 1))
+    return found.where(enough | (F.col("run") >= RUN)).select("id", "unit", "item", "coverage", "run", "agreement", "verbatim")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -38,7 +38,8 @@ NAMES = frozenset(
     "navbar navigation menu menubar breadcrumb breadcrumbs footer complementary contentinfo masthead topbar comment comments "
     "commentlist disqus respond replies cookie cookies consent gdpr notice notices alert newsletter subscribe subscription "
     "signup share sharing social related recommended popup modal overlay widget toolbar pagination pager login search "
-    "copyright disclaimer paywall teaser outbrain taboola".split()
+    "copyright disclaimer paywall teaser outbrain taboola discussion reactions feedback side rail announcement announcements "
+    "notification notifications skip blogroll legal subnav dropdown".split()
 )
 #: Those of them that hold for an article element too: comments are often marked up as articles.
 EVEN_ARTICLES = frozenset("comment comments commentlist replies related recommended teaser ad ads advert advertisement sponsored promo".split())
