@@ -6,14 +6,14 @@ import json
 import random
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import PackError, UnknownBlob
 from ..functions import refs
 from ..plans.layout import Limits, plan, ref_path_of, shard_of, shard_starts
 from ..sources.formats import BYTES, ROWS, register
-from ..sources.ranges import Handles, list_files
+from ..sources.ranges import Handles, Ranges, list_files
 from ..sources.shards import Shard
 
 #: Shards that references may name for only these to be listed; beyond, all are.
@@ -198,6 +198,31 @@ class Pack:
         shard = Shard(self.paths[name])
         return shard, shard.index_of(key)
 
+    def scan_until(self, max_bytes: int, *, shuffle: bool = False, seed: int = 0, payload: bool = True) -> DataFrame:
+        """The members of an ordered scan that begin before max_bytes of payloads have passed: (position, shard, ordinal,
+        key, size[, payload]). Shards that come later aren't opened for their payloads."""
+        self.check_unique()
+        index = self.index()
+        totals = {r[0]: (r[1], r[2]) for r in index.groupBy("shard").agg(F.count("*"), F.sum("size")).collect()}
+        order = sorted(self.paths)
+        if shuffle:
+            random.Random(seed).shuffle(order)
+        begins, rows, passed = [], 0, 0
+        for s in order:
+            if passed >= max_bytes:
+                break
+            begins.append((s, rows, passed))
+            rows, passed = rows + totals.get(s, (0, 0))[0], passed + (totals.get(s, (0, 0))[1] or 0)
+        first = self.spark.createDataFrame(begins, "shard string, first long, passed long")
+        earlier = Window.partitionBy("shard").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
+        chosen = index.join(F.broadcast(first), "shard").withColumn("before", F.col("passed") + F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+        chosen = chosen.where(F.col("before") < max_bytes).withColumn("position", F.col("first") + F.col("ordinal"))
+        chosen = chosen.select("position", "shard", "ordinal", "key", "size")
+        if not payload:
+            return chosen
+        blobs = self.blobs([s for s, *_ in begins]).select("shard", "ordinal", "payload")
+        return chosen.join(blobs, ["shard", "ordinal"]).select("position", "shard", "ordinal", "key", "size", "payload")
+
     def scan(self, *, shuffle: bool = False, seed: int = 0, worker: int = 0, workers: int = 1, payload: bool = True) -> DataFrame:
         """Members in shard order (by name, or shuffled by the seed), then directory order, with their position.
 
@@ -225,6 +250,40 @@ class Pack:
         return rows.where((F.col("position") >= lo) & (F.col("position") < hi)).select(*keep)
 
 
+def read_spans(df: DataFrame, path: str = "path", offset: str = "data_offset", size: str = "size", out: str = "payload") -> DataFrame:
+    """`df` with the bytes of a file from an offset on, such as a tar index has; stretches of files are read in order."""
+    columns = df.columns
+    if out in columns:
+        raise ValueError(f"the table already has a column {out}")
+    dealt = df.repartition(path, (F.col(offset) / STRETCH).cast("int")).sortWithinPartitions(path, offset)
+    schema = df.schema.add(out, "binary")
+
+    def run(batches):
+        handles = Handles(Ranges)
+        try:
+            for batch in batches:
+                asked = list(zip(*(c.to_pylist() for c in batch.columns[-3:]), strict=True))
+                rows = batch.select(batch.schema.names[:-3])
+                at = 0
+                while at < len(asked):
+                    got, held, begin = [], 0, at
+                    while at < len(asked) and len(got) < ROWS and held < BYTES:
+                        where, start, n = asked[at]
+                        data = None if where is None else handles.get(where).read(start, n)
+                        if data is not None and len(data) != n:
+                            raise PackError(f"{where}: short read, {len(data)} of {n} bytes")
+                        got.append(data)
+                        held += len(data or b"")
+                        at += 1
+                    part = rows.slice(begin, at - begin)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.binary())], names=schema.names)
+        finally:
+            handles.close()
+
+    asked = dealt.select(*columns, F.col(path).alias("__path"), F.col(offset).cast("long").alias("__offset"), F.col(size).cast("long").alias("__size"))
+    return asked.mapInArrow(run, schema)
+
+
 def _reader(paths: dict[str, str], n_keep: int, lenient: bool, names: list[str]):
     def read(handles, ref, shard, ordinal, start, length):
         if ref is None:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import payload as payloads
 from ..functions import refs
 from ..operators import convert, integrity, measure
-from ..operators.packs import Pack, write_pack
+from ..operators.packs import Pack, read_spans, write_pack
+from ..sources.formats import register
 from .layout import Limits, plan
 
 QUERIES: dict = {}
@@ -341,6 +342,22 @@ def _(spark, sf_dir):
     return found.agg(F.count("*").alias("n"), F.countDistinct("position").alias("n_keys"), F.sum(F.octet_length("payload").cast("long")).alias("bytes"))
 
 
+@_query("scan_until", f"{_fold(_DOC, MAX)}, c AS (SELECT *, sum(size) OVER (ORDER BY rn) - size AS before FROM p) SELECT (rn - 1)::BIGINT AS position, key, size FROM c WHERE before < 300000")
+def _(spark, sf_dir):
+    return _built(spark, sf_dir)[0].scan_until(300_000).select("position", "key", F.octet_length("payload").cast("long").alias("size"))
+
+
+@_query("sql_functions", f"{_fold(_DOC, MAX)} SELECT doc_id, p.key, p.name AS shard, substr(hex(encode(text)), 5, 16) AS bytes FROM p JOIN documents USING (doc_id) WHERE doc_id < 50")
+def _(spark, sf_dir):
+    from ..functions import sql
+
+    pack, planned = _built(spark, sf_dir)
+    sql.register_refs(spark)
+    sql.register_reader(spark, pack.folder)
+    planned.where("ord < 50").select(F.col("ord").alias("doc_id"), "ref").createOrReplaceTempView("packlake_refs")
+    return spark.sql("SELECT doc_id, ref_key(ref) AS key, ref_shard(ref) AS shard, hex(x.payload) AS bytes FROM packlake_refs, LATERAL read_range(ref, 2, 8) AS x")
+
+
 # integrity
 
 
@@ -490,6 +507,13 @@ def _(spark, sf_dir):
     return Pack(spark, out).blobs().select("key", F.sha2("payload", 256).alias("sha256"))
 
 
+@_query("tar_index_read", _FILES)
+def _(spark, sf_dir):
+    register(spark)
+    index = spark.read.format("tar_index").load(_tree(spark, sf_dir, True))
+    return read_spans(index).select("key", F.sha2("payload", 256).alias("sha256"))
+
+
 @_query("unpack_files", "SELECT count(*)::BIGINT AS n, sum(strlen(text))::BIGINT AS bytes FROM documents")
 def _(spark, sf_dir):
     out = os.path.join(_workspace(spark), "files")

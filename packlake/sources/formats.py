@@ -4,6 +4,7 @@
     spark.read.format("pack_index").load(folder)     # one row for each member, no payloads
     spark.read.format("pack_blobs").load(folder)     # with payloads
     spark.read.format("tar_members").load(folder)
+    spark.read.format("tar_index").load(folder)      # where the members of uncompressed archives are
     planned.write.format("pack").mode("append").save(folder)
 
 A source can't prune columns, so listing and reading are two sources. Filters on `shard` choose the files to open.
@@ -32,6 +33,7 @@ INDEX = (
 )
 BLOBS = "shard string, ordinal long, key string, size long, payload binary, error_class string, error string"
 TAR = "tar string, ordinal long, key string, size long, payload binary"
+TAR_INDEX = "tar string, ordinal long, key string, size long, path string, data_offset long"
 #: Rows and bytes of payload in one Arrow batch.
 ROWS, BYTES = 256, 16 << 20
 
@@ -156,6 +158,28 @@ class _TarReader(_ByFile):
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+class _TarIndexReader(_ByFile):
+    """Where the regular files of uncompressed archives begin; payloads aren't read but skipped."""
+
+    suffix = "*.tar"
+
+    def read(self, partition):
+        if not partition.path:
+            return
+        fs, at = filesystem(partition.path)
+        rows = []
+        with fs.open_input_file(at) as raw, tarfile.open(fileobj=raw, mode="r:") as tar:
+            for member in tar:
+                if member.isfile():
+                    key = member.name
+                    while key.startswith("./"):
+                        key = key[2:]
+                    rows.append((partition.name, len(rows), key, member.size, partition.path, member.offset_data))
+        schema = _schema(TAR_INDEX)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list  # (temporary path, final name, blobs, bytes)
@@ -261,6 +285,18 @@ class TarMembers(DataSource):
         return _TarReader(self.options)
 
 
+class TarIndex(DataSource):
+    @classmethod
+    def name(cls):
+        return "tar_index"
+
+    def schema(self):
+        return TAR_INDEX
+
+    def reader(self, schema):
+        return _TarIndexReader(self.options)
+
+
 class PackSink(DataSource):
     @classmethod
     def name(cls):
@@ -275,7 +311,7 @@ class PackSink(DataSource):
 
 def register(spark: SparkSession) -> SparkSession:
     """Make the formats known to a session, and let filters reach the sources."""
-    for source in (PackIndex, PackBlobs, TarMembers, PackSink):
+    for source in (PackIndex, PackBlobs, TarMembers, TarIndex, PackSink):
         spark.dataSource.register(source)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark

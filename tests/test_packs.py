@@ -18,7 +18,7 @@ from packlake.cli import main
 from packlake.errors import PackError, UnknownBlob
 from packlake.functions import refs
 from packlake.operators import convert, integrity, measure
-from packlake.operators.packs import Pack, write_pack
+from packlake.operators.packs import Pack, read_spans, write_pack
 from packlake.plans.layout import Limits, Roller, plan
 
 BLOBS = [(i, f"dir{i % 3}/b{i:03d}.bin", bytes([i]) * (300 + 7 * i)) for i in range(40)]
@@ -347,3 +347,20 @@ def test_strict_references(spark):
     assert refs.split_ref("zip://a::b::c") == ("a", "b::c")
     with pytest.raises(ValueError):
         refs.split_ref("a::b")
+
+
+def test_scan_until_and_spans(pack, spark, tmp_path):
+    p, _ = pack
+    got = [r.key for r in p.scan_until(2_000).orderBy("position").collect()]
+    passed, want = 0, []
+    for _, k, b in BLOBS:
+        if passed < 2_000:
+            want.append(k)
+        passed += len(b)
+    assert got == want and p.scan_until(0).count() == 0 and p.scan_until(10**9, shuffle=True, payload=False).count() == len(BLOBS)
+    with tarfile.open(tmp_path / "a.tar", "w") as t:
+        for name in ("x", "y"):
+            (tmp_path / name).write_bytes(name.encode() * 700)
+            t.add(tmp_path / name, "./" + name)
+    index = spark.read.format("tar_index").load(str(tmp_path))
+    assert {r.key: bytes(r.payload) for r in read_spans(index).collect()} == {"x": b"x" * 700, "y": b"y" * 700}
