@@ -15,7 +15,6 @@ read once, nothing of them is shuffled.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Bound of the sample that examples are drawn from: rows of each class, those of the smallest hashes of their ids.
-PER_CLASS = 3_000
+PER_CLASS = 1_500
 #: Bound of the vocabulary, and the least z-score of a term's shares among toxic and other examples.
 TERMS, LEAST_Z = 1_000, 3.0
 #: Characters of the beginnings of words that are terms too, and the most characters of a word that count.
@@ -45,7 +44,12 @@ THRESHOLD = 0.7
 #: Terms of distinct words that a worker remembers.
 CACHE = 200_000
 
-WORD = re.compile(r"[^\W\d_]+")
+#: All ASCII characters but letters stand between words.
+SPACED = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
+
+
+def words_of(text: str) -> list[str]:
+    return text.lower().encode().translate(SPACED).decode().split()
 
 
 def terms_of(word: str) -> list[str]:
@@ -59,7 +63,7 @@ def held_out(id: Column) -> Column:
 
 
 def count_words(text: str) -> Counter:
-    return Counter(w[:LONGEST] for w in WORD.findall(text.lower()))
+    return Counter(w[:LONGEST] for w in words_of(text))
 
 
 class Index:
@@ -116,10 +120,17 @@ class Index:
     def _numbers(self, word: str) -> tuple[int, ...]:
         return tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
 
-    def _numbered(self, words: Counter) -> Counter:
+    def _numbered(self, words: dict[str, int]) -> Counter:
+        """The terms of a text's words, with their counts."""
         out: Counter = Counter()
+        cache = self._cache
         for w, n in words.items():
-            for t in self._numbers(w):
+            got = cache.get(w)
+            if got is None:
+                if len(cache) >= CACHE:
+                    cache.clear()
+                got = cache[w[:LONGEST]] = self._numbers(w)
+            for t in got:
                 out[t] += n
         return out
 
@@ -132,18 +143,8 @@ class Index:
         return at, w / math.sqrt(float(w @ w))
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = WORD.findall(text.lower())
-        cache = self._cache
-        found: Counter = Counter()
-        for w, n in Counter(words).items():
-            got = cache.get(w)
-            if got is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                got = cache[w[:LONGEST]] = self._numbers(w)
-            for t in got:
-                found[t] += n
-        return self._vector(found, len(words))
+        words = words_of(text)
+        return self._vector(self._numbered(Counter(words)), len(words))
 
     def _nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the NEAREST examples, best first. No example left out has a greater cosine; of equal
@@ -213,7 +214,8 @@ class Index:
             return self.share, [], []
         number, cosine = self._nearest(*self.vector(text))
         a, b = self.curve
-        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * float(self._odds(self._vote(number, cosine)))))))
+        vote = min(0.995, max(0.005, self._vote(number, cosine)))
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log(vote / (1 - vote))))))
         return p, self.ids[number[:EVIDENCE]].tolist(), cosine[:EVIDENCE].tolist()
 
 
