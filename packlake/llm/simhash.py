@@ -23,7 +23,7 @@ BITS = 64
 #: neighbours instead (see `_link_wide`).
 MOST_IN_TASK = 20_000
 #: Up to so many fingerprints under one key are compared by shifting whole columns.
-FEW = 12
+FEW = 3
 PORTION = 4_000_000
 
 
@@ -130,12 +130,19 @@ def fingerprint(df: DataFrame, size: int = 4, seed: int = 42, text: str = "text"
     return common.map_arrow(df, [common.quoted(text).cast("string").cast("binary")], [(out, T.LongType())], make, keep)
 
 
+def _middle(values: np.ndarray) -> int:
+    """The place of the value that differs least from the majority of all, bit by bit."""
+    return int(np.argmin(np.bitwise_count(values ^ np.uint64(_majority(values)))))
+
+
 def link_run(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, first) for every value tied to an earlier one by a chain of links; memory in proportion to the run."""
+    """(member, middle) for every value tied by a chain of links to the middle one of its group; memory in proportion to
+    the run. A dense group has the same middle in most tables, so most of its links are found again, not new ones."""
     members, firsts = [], []
-    rest = values
+    rest, tries = values, 16
     while len(rest) > 1:
-        first, rest = rest[0], rest[1:]
+        at, tries = (_middle(rest) if tries else 0), max(0, tries - 1)
+        first, rest = rest[at], np.delete(rest, at)
         frontier = [first]
         while frontier and len(rest):
             near = np.bitwise_count(rest ^ frontier.pop()) <= radius
