@@ -9,6 +9,8 @@ pair within the radius thus collides in one of them, for certain.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,6 +27,12 @@ MOST_IN_TASK = 20_000
 #: Up to so many fingerprints under one key are compared by shifting whole columns.
 FEW = 3
 PORTION = 4_000_000
+#: Texts, about, in the sample that tells common shingles, and the most of these that are sent to all tasks.
+SAMPLE, MOST_COMMON = 5_000, 100_000
+#: Nodes under one shingle up to which all their pairs are listed at once.
+MOST_PAIRED = 4
+#: Each tells which node of a key the others are compared with: the one smallest after an exclusive or.
+STARS = (0, 0x5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3)
 
 
 def masks(radius: int, bits: int = BITS) -> list[int]:
@@ -75,22 +83,6 @@ def fingerprints(texts: list[bytes], size: int, seed: int = 42) -> np.ndarray:
     return out
 
 
-def word_set_fingerprints(texts: list[bytes], seeds: list[int]) -> list[np.ndarray]:
-    """SimHash of the distinct words of each text, for several seeds."""
-    from xxhash import xxh64_intdigest
-
-    out = [np.zeros(len(texts), np.uint64) for _ in seeds]
-    for i, text in enumerate(texts):
-        words = set(text.lower().split())
-        if words:
-            base = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-            for k, seed in enumerate(seeds):
-                h = (base ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                out[k][i] = _majority(h ^ (h >> np.uint64(32)))
-    return out
-
-
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a text; a text of fewer words is one shingle."""
     from xxhash import xxh64_intdigest
@@ -285,46 +277,34 @@ def near_duplicates(
     return prints.join(of_value, prints.simhash == of_value.v).select(F.col("id").alias(id), "simhash", "component")
 
 
-def keep_one(
-    df: DataFrame, size: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (1, 2, 3), radius: int = 4, id: str = "doc_id", text: str = "text"
-) -> DataFrame:
+def keep_one(df: DataFrame, size: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `df`, with all their columns, that stay when of each group of near duplicates one does: the one of
     the smallest id. Texts are near duplicates if the Jaccard likeness of their sets of `size`-word shingles is at least
     `similarity`; groups are what such pairs connect.
 
-    Shingles of several words change too much with one word for a radius of a few bits, so candidates come from SimHash
-    of the distinct words, under several seeds; every candidate pair is then compared by its shingles. Equal texts are
-    one node from the start. Of repeated rows one stays. Null and empty texts are equal texts. Rows without an id are
-    only compared for equal texts, and yield to rows with one. An empty table gives an empty table.
+    Candidates are exact: with shingles in any one order, two sets of that likeness share a shingle among the first
+    n - ceil(similarity * n) + 1 of each. Shingles common in a sample come last in the order, so that few texts meet under
+    one; the sample steers cost alone. Candidate pairs are compared by all their shingles. Equal texts are one node from
+    the start. Of repeated rows one stays. Null and empty texts are equal texts. Rows without an id are only compared for
+    equal texts, and yield to rows with one. An empty table gives an empty table.
     """
-    value = [f"v{s}" for s in seeds]
     plain = F.coalesce(common.quoted(text).cast("string"), F.lit(""))
     key = [F.xxhash64(plain).alias("k1"), F.xxhash64(plain, F.lit(1)).alias("k2")]
     mine = df.select(common.quoted(id).cast("long").alias("id"), *key, plain.alias("text"))
+    shared = df.sparkSession.sparkContext.broadcast(_common_shingles(mine, size))
 
     def make():
+        known, counts = shared.value
+
         def run(texts):
-            got = texts.to_pylist()
-            found = [word_set_fingerprints(part, list(seeds)) for part in common.portions(got, PORTION)]
-            return [pa.array(np.concatenate(c).view(np.int64)) for c in zip(*found, strict=True)]
+            sets = [shingle_set(t, size) for t in texts.to_pylist()]
+            return [pa.array([len(x) for x in sets], pa.int32()), pa.array([_prefix(x, similarity, known, counts).tobytes() for x in sets], pa.binary())]
 
         return run
 
-    prints = common.checkpoint(common.map_arrow(mine, [F.col("text").cast("binary")], [(v, T.LongType()) for v in value], make, ["id", "k1", "k2"]))
-    texts = prints.groupBy("k1", "k2").agg(F.min("id").alias("node"), *[F.first(v).alias(v) for v in value])
-    texts = common.checkpoint(texts)
-    pairs = None
-    for v in value:
-        by = texts.where("node is not null").groupBy(F.col(v).alias("v")).agg(F.min("node").alias("least"))
-        by = common.checkpoint(by)
-        same = texts.join(by, texts[v] == by.v).where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-        near = links(by.select("v"), radius)
-        left, right = by.select(F.col("v").alias("a"), F.col("least").alias("na")), by.select(F.col("v").alias("b"), F.col("least").alias("nb"))
-        near = near.join(left, "a").join(right, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-        found = same.union(near)
-        pairs = found if pairs is None else pairs.union(found)
-    pairs = common.checkpoint(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    roots = components(_alike(mine, pairs, size, similarity))
+    prints = common.map_arrow(mine, [F.col("text").cast("binary")], [("n", T.IntegerType()), ("prefix", T.BinaryType())], make, ["id", "k1", "k2"])
+    texts = common.checkpoint(prints.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    roots = _grouped(mine, texts.where("node is not null").select("node", "n", "prefix"), size, similarity)
     texts = texts.join(roots, "node", "left").where(F.col("root").isNull() | (F.col("root") == F.col("node")))
     stay = texts.select(F.col("node").alias("__node"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
     same = (key[0] == F.col("__k1")) & (key[1] == F.col("__k2")) & common.quoted(id).cast("long").eqNullSafe(F.col("__node"))
@@ -333,30 +313,144 @@ def keep_one(
     return kept.select(*map(common.quoted, df.columns))
 
 
-def _alike(texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of ids whose shingles are alike. texts: (id, text), equal texts under an id being equal too."""
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles found more than once in a sample of texts (columns k1, text)."""
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.encode(), size).view(np.int64))], names=["h"])
+
+    step = max(1, texts.count() // SAMPLE)
+    found = texts.where(F.pmod("k1", F.lit(step)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").count()
+    rows = found.where("count > 1").orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
+    h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([r[1] for r in rows], np.int64)[order]
+
+
+def _prefix(shingles: np.ndarray, similarity: float, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of a text's shingles, by their counts in the sample and then by hash."""
+    n = len(shingles)
+    most = min(n, n - math.ceil(similarity * n - 1e-9) + 1)
+    if not len(known):
+        return shingles[:most]
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    count = np.where(known[at] == shingles, counts[at], 0)
+    return shingles[np.argsort(count, kind="stable")[:most]]
+
+
+def _spread(batches):
+    for batch in batches:
+        sizes = [len(x) // 8 for x in batch.column("prefix").to_pylist()]
+        keys = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.int64)
+        for at in range(0, len(keys), 100_000):
+            part = slice(at, at + 100_000)
+            own = pa.array(np.repeat(np.arange(len(sizes)), sizes)[part])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), batch.column("node").take(own), batch.column("n").take(own)], names=["key", "node", "n"])
+
+
+def _in_company(similarity: float):
+    """For rows (key, node, n) sorted by key and n: those with another row of their key whose n lets them be alike."""
+
+    def run(batches):
+        held, paired = None, False  # the last row so far, and whether it is wanted for the one before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if held is not None:
+                key, node, n = (np.concatenate([[h], c]) for h, c in zip(held, (key, node, n), strict=True))
+            near = (key[1:] == key[:-1]) & (n[:-1] >= similarity * n[1:])
+            before = np.concatenate([[paired], near])
+            good = np.flatnonzero(before[:-1] | near)
+            yield pa.RecordBatch.from_arrays([pa.array(key[good]), pa.array(node[good]), pa.array(n[good].astype(np.int32))], names=["key", "node", "n"])
+            held, paired = (key[-1], node[-1], n[-1]), bool(before[-1])
+        if paired:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["key", "node", "n"])
+
+    return run
+
+
+def _grouped(texts: DataFrame, heads: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, root) of the groups that pairs alike connect, among the pairs that share a shingle in `heads` (node, n,
+    prefix).
+
+    All pairs under a key of few nodes are compared. Under others every node is first compared with one of them, another
+    one each time, so that dense groups grow together without their pairs being listed; then all pairs that are not in
+    one group yet and were not compared are, so that none is left out.
+    """
+    spread = heads.mapInArrow(_spread, "key long, node long, n int").repartition("key").sortWithinPartitions("key", "n")
+    posts = common.checkpoint(spread.mapInArrow(_in_company(similarity), "key long, node long, n int"))
+    heads = common.checkpoint(heads.join(posts.select("node").distinct(), "node", "left_semi"))
+    wide = posts.groupBy("key").count().where(F.col("count") > MOST_PAIRED).select("key")
+    few, posts = posts.join(wide, "key", "left_anti"), common.checkpoint(posts.join(wide, "key", "left_semi"))
+    none = texts.sparkSession.createDataFrame([], "a long, b long")
+
+    def listed(rows):
+        """All pairs under a key of rows (key, node, n, root) of different roots."""
+        other = rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("s"))
+        near = (F.col("root") != F.col("s")) & (F.col("node") > F.col("b")) & (F.least("n", "m") >= similarity * F.greatest("n", "m"))
+        return rows.join(other, "key").where(near).select(F.col("node").alias("a"), "b")
+
+    pairs = listed(few.withColumn("root", F.col("node")))
+    alike, tested, roots = none, none, components(none)
+    for mask in (*STARS, None):
+        now = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        hub = F.min(F.col("node").bitwiseXOR(F.lit(mask or 0))).bitwiseXOR(F.lit(mask or 0))
+        live = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), hub.alias("hub")).where("lo != hi").select("key", "hub")
+        now = common.checkpoint(now.join(live, "key"))
+        posts = now.select("key", "node", "n")
+        if mask is None:
+            found = listed(now)
+        else:
+            found = now.where("node != hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+        pairs = common.checkpoint((found if pairs is None else pairs.union(found)).distinct().join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            close = common.checkpoint(_alike(heads.select("node", "prefix", "n"), pairs, similarity, True))
+            involved = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+            alike = common.checkpoint(alike.union(_alike(_sets(texts, involved, size), close, similarity)))
+            tested = common.checkpoint(tested.union(pairs))
+            roots = components(alike)
+        pairs = None
+        if posts.isEmpty():
+            break
+    return roots
+
+
+def _sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, shingles) of the texts (id, text) of some ids, equal texts under an id being equal too."""
 
     def sets(batches):
         for batch in batches:
             packed = [shingle_set((t or "").encode(), size).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "shingles"])
 
-    mine = texts.select("id", "text").join(involved, "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
-    mine = common.checkpoint(mine.dropDuplicates(["id"]))
-    both = pairs.join(mine.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(mine.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    mine = texts.select("id", "text").join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
+    return common.checkpoint(mine.dropDuplicates(["id"]))
+
+
+def _alike(sets: DataFrame, pairs: DataFrame, similarity: float, prefixes: bool = False) -> DataFrame:
+    """The pairs (a, b) of ids whose shingles are alike. sets: (id, shingles, and their number where these are prefixes).
+
+    By prefixes alone, those pairs that may be alike: beyond what two prefixes share, no more can be common than lies
+    behind the one that ends first.
+    """
+    sets = sets.toDF("id", "shingles", "n") if prefixes else sets.withColumn("n", (F.octet_length("shingles") / 8).cast("int"))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), F.col("n").alias("nx")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"), F.col("n").alias("ny")), "b")
+    both = both.where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
 
     def compare(batches):
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            for x, y, n, m in zip(*(batch.column(c) for c in ("x", "y")), *(batch.column(c).to_pylist() for c in ("nx", "ny")), strict=True):
                 p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                common_ = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
-                good.append(common_ >= similarity * (len(p) + len(q) - common_))
+                both_ = len(np.intersect1d(p, q, assume_unique=True)) + max(n - len(p), m - len(q))
+                good.append(both_ >= similarity * (n + m - both_) - (1e-9 if prefixes else 0))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "x", "y", "nx", "ny").mapInArrow(compare, "a long, b long")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -237,6 +237,37 @@ def test_one_of_each_group_stays(spark):
     assert [r.text for r in got if r.doc_id is None] == ["alone"]
 
 
+def test_one_stays_of_copies_close_to_the_bound(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(3000)]
+    texts = []
+    for n in (60, 300):
+        for _ in range(10):
+            text = rng.choices(words, k=n)
+            tail, extended, edited = text[: n - n // 6], text + rng.choices(words, k=n // 8), list(text)
+            for at in range(n // 120 + 1):
+                edited[10 + at * 50] = "new"
+            texts += [text, tail, extended, edited]
+    base = rng.choices(words, k=300)
+    for i in range(61):  # versions of one text, each with words of its own changed
+        own = list(base)
+        for at in rng.sample(range(300), 4):
+            own[at] = f"v{i}x{at}"
+        texts.append(own)
+    sets = [set(simhash.shingle_set(" ".join(t).encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for x in range(len(texts)):
+        for y in range(x):
+            both = len(sets[x] & sets[y])
+            if both >= 0.8 * (len(sets[x]) + len(sets[y]) - both):
+                p, q = root[x], root[y]
+                root = [min(p, q) if r in (p, q) else r for r in root]
+    want = {i for i, r in enumerate(root) if i == r}
+    assert len(want) < len(texts) / 2
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+
+
 def test_one_stays_of_odd_rows(odd, empty):
     got = simhash.keep_one(odd)
     assert got.columns == odd.columns and sorted(r.doc_id for r in got.collect()) == [1, 2, 4, 6]  # white space is as good as nothing
