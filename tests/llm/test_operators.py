@@ -268,6 +268,18 @@ def test_one_stays_of_copies_close_to_the_bound(spark):
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
 
 
+def test_one_stays_where_the_first_of_a_group_is_unlike(spark):
+    rng = random.Random(4)
+    words = list({"".join(rng.choices(string.ascii_lowercase, k=5)) for _ in range(300)})
+    swapped = list(words)
+    swapped[40], swapped[200] = swapped[200], swapped[40]
+    half = words[150:]
+    rng.shuffle(half)
+    texts = [(0, words[:150] + half), (1, words), (2, swapped)]  # of the same words, so of one word-set fingerprint
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [0, 1]
+
+
 def test_one_stays_of_odd_rows(odd, empty):
     got = simhash.keep_one(odd)
     assert got.columns == odd.columns and sorted(r.doc_id for r in got.collect()) == [1, 2, 4, 6]  # white space is as good as nothing
