@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +16,22 @@ from pyspark.sql import types as T
 SLICE = 4 << 20
 
 
+def _ranges(wanted) -> str:
+    """The characters for which wanted(c), as the inside of a character class."""
+    found: list[list[int]] = []
+    for c in filter(wanted, map(chr, range(0x300, 0x20000))):
+        if found and found[-1][1] == ord(c) - 1:
+            found[-1][1] += 1
+        else:
+            found.append([ord(c), ord(c)])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found)
+
+
+#: Marks that belong to the letter before, and scripts written without spaces.
+MARKS = _ranges(lambda c: unicodedata.category(c)[0] == "M")
+SOLID = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\ua4cf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,9 @@ read once, nothing of them is shuffled.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .common import MARKS, SOLID
 
 #: Bound of the sample that examples are drawn from: rows of each class, those of the smallest hashes of their ids.
 PER_CLASS = 1_500
 #: Bound of the vocabulary, and the least z-score of a term's shares among toxic and other examples.
 TERMS, LEAST_Z = 1_000, 3.0
-#: Characters of the beginnings of words that are terms too, and the most characters of a word that count.
+#: Characters of the beginnings of words that are terms too, and the most characters of a word that are kept as they are.
 BEGINNINGS, LONGEST = (3, 4, 5, 6), 40
+#: Characters taken together as a word in scripts without spaces.
+GRAMS = (1, 2, 3)
 #: Weight of the term that stands for all other words.
 REST = 2.0
 NEAREST = 15
@@ -48,12 +53,31 @@ CACHE = 200_000
 SPACED = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
+UNSPACED = re.compile(f"[{SOLID}]")
+RUN = re.compile(rf"(?:(?![{SOLID}])[^\W\d_][{MARKS}]*)+|(?:(?=[{SOLID}])[^\W\d_][{MARKS}]*)+")
+LETTERS = re.compile(rf"(?:[^\W\d_]+[{MARKS}]*)+")
+UNIT = re.compile(rf"[^\W\d_][{MARKS}]*")
+
+
 def words_of(text: str) -> list[str]:
-    return text.lower().encode().translate(SPACED).decode().split()
+    """Runs of letters in lower case; of scripts without spaces, single characters and all runs of two and three."""
+    text = text.lower()
+    if text.isascii():
+        return text.encode().translate(SPACED).decode().split()
+    if not UNSPACED.search(text):
+        return LETTERS.findall(text)
+    out = []
+    for run in RUN.findall(text):
+        if UNSPACED.match(run):
+            units = UNIT.findall(run)
+            for size in GRAMS:
+                out += ["".join(units[i : i + size]) for i in range(len(units) - size + 1)]
+        else:
+            out.append(run)
+    return out
 
 
 def terms_of(word: str) -> list[str]:
-    word = word[:LONGEST]
     return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)]
 
 
@@ -63,7 +87,11 @@ def held_out(id: Column) -> Column:
 
 
 def count_words(text: str) -> Counter:
-    return Counter(w[:LONGEST] for w in words_of(text))
+    """The words of a text, each very long one as its beginning and a hash of it all."""
+    counts = Counter(words_of(text))
+    for w in [w for w in counts if len(w) > LONGEST]:
+        counts[w[:LONGEST] + blake2b(w.encode(), digest_size=8).hexdigest()] += counts.pop(w)
+    return counts
 
 
 class Index:
@@ -129,7 +157,7 @@ class Index:
             if got is None:
                 if len(cache) >= CACHE:
                     cache.clear()
-                got = cache[w[:LONGEST]] = self._numbers(w)
+                got = cache[w] = self._numbers(w)
             for t in got:
                 out[t] += n
         return out
@@ -143,8 +171,8 @@ class Index:
         return at, w / math.sqrt(float(w @ w))
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = words_of(text)
-        return self._vector(self._numbered(Counter(words)), len(words))
+        words = count_words(text)
+        return self._vector(self._numbered(words), words.total())
 
     def _nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the NEAREST examples, best first. No example left out has a greater cosine; of equal

@@ -132,6 +132,14 @@ def test_nearest_examples_are_exact():
         assert (index.score(t)[0] >= 0.7) == bool(y)
 
 
+def test_words_next_to_marks_and_without_spaces():
+    assert toxicity.words_of("du—idiot ¿idiota? „Idiot“") == ["du", "idiot", "idiota", "idiot"]
+    unspaced = toxicity.words_of("这是一个，" * 20 + "很坏的话。")
+    assert {"坏", "很坏", "很坏的"} <= set(unspaced) and "个很" not in unspaced
+    a, b = (toxicity.count_words("x" * 60 + end) for end in "yz")
+    assert a != b and all(len(w) < 60 for w in a)
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     docs = spark.createDataFrame([(i, t) for t, _, i in made_up(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for _, y, i in made_up(200)] + [(None, 1), (7, None), (999, 1)], "doc_id long, toxic int")
