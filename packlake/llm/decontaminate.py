@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .common import MARKS, SOLID
 
 WINDOW = 6
-#: Words below which an item can't be told from chance and is not looked for; shorter ones than WINDOW use all words.
+#: Words below which an item can't be told from chance inside a text and is looked for as a whole line; items shorter than
+#: WINDOW use all their words.
 LEAST_WORDS = 5
 #: Words of a window that must not be placeholders.
 LITERALS = 3
@@ -35,6 +37,11 @@ CACHE = 400_000
 PORTION = 1_000_000
 
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,:/]\d+)*")
+#: Of texts in scripts without spaces each character of these is a word.
+UNSPACED = re.compile(f"[{SOLID}]")
+MIXED = re.compile(rf"(?=[{SOLID}])[^\W\d_][{MARKS}]*|(?:(?![{SOLID}])[^\W\d_])+(?:['’](?:(?![{SOLID}])[^\W\d_])+)*|\d+(?:[.,:/]\d+)*")
+#: Forms of windows beside those with placeholders: words and numbers as they are; a whole line of few words.
+LITERAL, LINE = 2, 3
 #: Words that stand for numbers and units of measure.
 NUMBERS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
@@ -49,6 +56,10 @@ UNITS = frozenset(
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def tokens_of(text: str) -> list[str]:
+    return (TOKEN if text.isascii() or not UNSPACED.search(text) else MIXED).findall(text)
+
+
 def kind(token: str) -> str:
     """n: a number, u: a unit, c: a capitalised word, else empty."""
     low = token.lower()
@@ -63,7 +74,7 @@ class _Words(dict):
     """Number of each token; makes rows of hashes for the two forms of texts when a token is first met."""
 
     def __init__(self):
-        self.forms: list[tuple[int, int, int, int]] = []
+        self.forms: list[tuple[int, int, int, int, int]] = []
 
     def __missing__(self, token: str) -> int:
         from xxhash import xxh64_intdigest
@@ -72,21 +83,21 @@ class _Words(dict):
         low = token.lower()
         plain = xxh64_intdigest(low, 1)
         slot = xxh64_intdigest(k, 2)
-        self.forms.append((slot if k else plain, slot if k in ("n", "u") and k else plain, bool(k), k in ("n", "u") and bool(k)))
+        self.forms.append((slot if k else plain, slot if k in ("n", "u") and k else plain, plain, bool(k), k in ("n", "u") and bool(k)))
         self[token] = len(self.forms) - 1
         return self[token]
 
 
 class Windows:
-    """Hashes of the windows of texts, in both forms."""
+    """Hashes of the windows of texts: of `sizes` in both forms, of `literal` sizes with all values."""
 
-    def __init__(self, sizes: list[int]):
-        self.sizes = sizes
+    def __init__(self, sizes: list[int], literal: list[int]):
+        self.sizes, self.literal = sizes, literal
         self._reset()
 
     def _reset(self) -> None:
         self._words = _Words()
-        self._table = np.zeros((0, 2), np.uint64)
+        self._table = np.zeros((0, 3), np.uint64)
         self._slots = np.zeros((0, 2), np.int64)
 
     def of(self, texts: list[str]):
@@ -96,21 +107,21 @@ class Windows:
         tokens: list[str] = []
         ends = []
         for t in texts:
-            tokens += TOKEN.findall(t)
+            tokens += tokens_of(t)
             ends.append(len(tokens))
         number = np.fromiter(map(self._words.__getitem__, tokens), np.int64, len(tokens))
         if len(self._table) < len(self._words.forms):
             new = self._words.forms[len(self._table) :]
-            self._table = np.concatenate([self._table, np.array([f[:2] for f in new], np.uint64).reshape(-1, 2)])
-            self._slots = np.concatenate([self._slots, np.array([f[2:] for f in new], np.int64).reshape(-1, 2)])
+            self._table = np.concatenate([self._table, np.array([f[:3] for f in new], np.uint64).reshape(-1, 3)])
+            self._slots = np.concatenate([self._slots, np.array([f[3:] for f in new], np.int64).reshape(-1, 2)])
         ends = np.array(ends, np.int64)
         owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
         left = ends[owner] - np.arange(len(tokens)) if len(tokens) else np.zeros(0, np.int64)
         first = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        for form in (0, 1):
+        for form in (0, 1, LITERAL):
             h = self._table[number, form]
-            slots = np.concatenate([[0], np.cumsum(self._slots[number, form])])
-            for size in self.sizes:
+            slots = np.concatenate([[0], np.cumsum(self._slots[number, form])]) if form != LITERAL else np.zeros(len(tokens) + 1, np.int64)
+            for size in self.sizes if form != LITERAL else self.literal:
                 n = len(tokens) - size + 1
                 if n <= 0:
                     continue
@@ -127,14 +138,28 @@ class Windows:
     def values(self, tokens: list[str], form: int) -> list[str]:
         """Kind and value of each placeholder of a window, in order."""
         at = self._slots
-        return [f"{kind(t)}:{t.lower()}" for t in tokens if at[self._words[t], form]]
+        return [] if form == LITERAL else [f"{kind(t)}:{t.lower()}" for t in tokens if at[self._words[t], form]]
+
+
+def _lines(texts: list[str]):
+    """(LINE, size, starts, hashes, owner) of the lines of fewer than LEAST_WORDS words; every start is 0."""
+    from xxhash import xxh64_intdigest
 
+    found: dict[int, list[tuple[int, int]]] = {}
+    for i, text in enumerate(texts):
+        for line in text.splitlines():
+            tokens = tokens_of(line)
+            if 0 < len(tokens) < LEAST_WORDS:
+                found.setdefault(len(tokens), []).append((i, xxh64_intdigest("\0".join(tokens).lower(), 3)))
+    for size, rows in found.items():
+        yield LINE, size, np.zeros(len(rows), np.int64), np.array([h for _, h in rows], np.uint64), np.array([i for i, _ in rows], np.int64)
 
-def _hits(sizes: list[int], wanted: np.ndarray | None):
+
+def _hits(sizes: list[int], wanted: np.ndarray | None, literal: list[int] = [], lines: bool = False):  # noqa: B006
     """For rows (id, unit, text): (id, unit, form, size, pos, hash, slots) of the windows with a wanted hash, or of all."""
 
     def run(batches):
-        windows = Windows(sizes)
+        windows = Windows(sizes, literal)
         table = None
         if wanted is not None:
             table = np.zeros(1 << 22, bool)
@@ -150,25 +175,32 @@ def _hits(sizes: list[int], wanted: np.ndarray | None):
                     at += len(portion)
 
     def found(part, texts, windows, table):
-        for form, size, starts, hashes, tokens, owner, first in windows.of(texts):
+        for form, size, starts, hashes, *rest in (*windows.of(texts), *(_lines(texts) if lines else ())):
             if table is not None:
                 near = np.flatnonzero(table[(hashes >> np.uint64(42)).astype(np.int64)])
                 if len(near):
                     place = np.minimum(np.searchsorted(wanted, hashes[near]), len(wanted) - 1)
                     near = near[wanted[place] == hashes[near]]
-                starts, hashes = starts[near], hashes[near]
+            else:
+                near = np.arange(len(starts))
+            starts, hashes = starts[near], hashes[near]
             if not len(starts):
                 continue
-            own = owner[starts]
+            if form == LINE:
+                own, slots = rest[0][near], [[]] * len(starts)
+            else:
+                tokens, owner, first = rest
+                own = owner[starts]
+                slots = [windows.values(tokens[s : s + size], form) for s in starts.tolist()]
+                starts = starts - first[own]
             take = pa.array(own)
-            slots = [windows.values(tokens[s : s + size], form) for s in starts.tolist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id").take(take),
                     part.column("unit").take(take),
                     pa.array(np.full(len(own), form, np.int32)),
                     pa.array(np.full(len(own), size, np.int32)),
-                    pa.array(starts - first[own]),
+                    pa.array(starts),
                     pa.array(hashes.view(np.int64)),
                     pa.array(slots, pa.list_(pa.string())),
                 ],
@@ -192,17 +224,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     unit is a hash of the text, so that rows of equal ids and different texts stay apart; rows of equal id and text are
     one. Items of equal texts are looked for once, under the smallest id. coverage is the share of the item's windows
     found on offsets whose placeholders agree, run the most words of the item in a row, agreement the least agreement of
-    placeholder values there, verbatim whether all values are the same. Null and empty texts, and items of fewer than
-    LEAST_WORDS words, match nothing; null ids of items are left out, null ids of documents stay.
+    placeholder values there, verbatim whether all values are the same. Items whose windows are nearly all placeholders
+    match with all their words and values in a row only, items of fewer than LEAST_WORDS words as a whole line only. Null
+    and empty texts match nothing; null ids of items are left out, null ids of documents stay.
     """
     spark = docs.sparkSession
     items = _prepared(benchmark.where(common.quoted(item).isNotNull()), item, item_text)
     items = items.groupBy("text").agg(F.min("id").alias("id"), F.min("unit").alias("unit"))
-    words = F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}]+(?:['’]\p{L}+)*|\d+(?:[.,:/]\d+)*"), F.lit(0)))
-    lengths = [r[0] for r in items.select(F.least(words, F.lit(WINDOW)).alias("n")).distinct().collect()]  # at most WINDOW + 1
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([min(WINDOW, len(tokens_of(t))) for t in batch.column("text").to_pylist()], pa.int32())], names=["n"])
+
+    lengths = [r[0] for r in items.select("text").mapInArrow(count, "n int").distinct().collect()]  # at most WINDOW + 1
     sizes = sorted({WINDOW, *(n for n in lengths if LEAST_WORDS <= n < WINDOW)})
     columns = ["id", "unit", "text"]
     theirs = common.checkpoint(items.select(*columns).mapInArrow(_hits(sizes, None), SCHEMA))
+    # items without a window that has words enough: as they are, whole
+    bare = items.join(theirs.select("id").distinct(), "id", "left_anti").withColumn("text", F.regexp_replace("text", r"\s+", " "))
+    bare = common.checkpoint(bare.select(*columns).mapInArrow(_hits([], None, [LEAST_WORDS, WINDOW], True), SCHEMA))
+    kinds = [tuple(r) for r in bare.select("form", "size").distinct().collect()]
+    theirs = theirs.union(bare)
     # an item is looked for by its windows of the usual size; by the largest shorter one where it has none
     longest = theirs.groupBy(F.col("id").alias("item")).agg(F.max("size").alias("size"))
     theirs = theirs.withColumnsRenamed({"id": "item", "pos": "item_pos", "slots": "item_slots"}).drop("unit").join(longest, ["item", "size"])
@@ -212,7 +254,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
         wanted = np.unique(np.array([r[0] for r in theirs.select("hash").distinct().collect()], np.int64).view(np.uint64))
         if not len(wanted):
             return spark.createDataFrame([], "id long, unit long, item long, coverage double, run long, agreement double, verbatim boolean")
-    ours = _prepared(docs, id, text).mapInArrow(_hits(sizes, wanted), SCHEMA)
+    ours = _prepared(docs, id, text).mapInArrow(_hits(sizes, wanted, sorted({n for f, n in kinds if f == LITERAL}), any(f == LINE for f, _ in kinds)), SCHEMA)
     both = ours.join(theirs, ["hash", "form", "size"])
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("own"))
     by = ["id", "unit", "item", "form", "size", (F.col("pos") - F.col("item_pos")).alias("offset")]
@@ -221,18 +263,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     )
     values = F.size(F.array_distinct(F.col("pairs.item")))
     offsets = offsets.select(
-        "id", "unit", "item", "size", "places",
+        "id", "unit", "item", "form", "size", "places",
         F.when(F.size("pairs") == 0, 1.0).otherwise(values / F.size("pairs")).alias("agreement"),
         F.forall("pairs", lambda p: p["item"] == p["own"]).alias("verbatim"),
         (F.size("places") + F.col("size") - 1).cast("long").alias("run"),
     ).where(F.col("agreement") >= AGREE)
+    offsets = offsets.join(total, "item").where((F.col("form") < LITERAL) | (F.size("places") == F.col("windows")))
     found = offsets.groupBy("id", "unit", "item").agg(
+        F.max("windows").alias("windows"),
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"),
         F.max("run").alias("run"),
         F.min("agreement").alias("agreement"),
         F.every("verbatim").alias("verbatim"),
     )
-    found = found.join(total, "item").withColumn("coverage", F.least(F.lit(1.0), F.col("found") / F.col("windows")))
+    found = found.withColumn("coverage", F.least(F.lit(1.0), F.col("found") / F.col("windows")))
     enough = (F.col("coverage") >= SHARE) & ((F.col("found") + WINDOW - 1 >= LEAST_FOUND) | (F.col("coverage") == 1))
     return found.where(enough | (F.col("run") >= RUN)).select("id", "unit", "item", "coverage", "run", "agreement", "verbatim")
 

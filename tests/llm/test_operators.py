@@ -373,6 +373,15 @@ def test_changed_questions_are_found(spark):
     assert [r.item for r in short.collect()] == [11]
 
 
+def test_items_without_spaces_or_of_numbers_are_found(spark):
+    items = [(1, "如果小明有五个苹果，他又买了三个，请问他一共有多少个苹果？"), (2, "3 5 8 13 21 34 55 89"), (3, "Solve 3x + 5 = 20"), (4, "What is gravity?")]
+    texts = [(i, f"Some words before.\n{q}\nAnd some more after.") for i, q in items]
+    texts += [(12, "the numbers 3 5 8 13 21 34 55 90 are others"), (13, "solve 3x + 5 = 21"), (14, "he asked what is gravity and why")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    found = decontaminate.matches(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.id, r.item) for r in found) == [(1, 1), (2, 2), (3, 3), (4, 4)]
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, "a b c d e"), (None, "x"), (2, "")], "item_id long, text string")
     got = decontaminate.clean(odd, items)
