@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -358,6 +359,39 @@ def _(spark, sf_dir):
     return spark.sql("SELECT doc_id, ref_key(ref) AS key, ref_shard(ref) AS shard, hex(x.payload) AS bytes FROM packlake_refs, LATERAL read_range(ref, 2, 8) AS x")
 
 
+# the same over whole tables: all references, every document asked for, every worker
+
+
+@_query("sql_functions_all", f"{_fold(_DOC, MAX)} SELECT doc_id, p.key, p.name AS shard, substr(hex(encode(text)), 5, 16) AS bytes FROM p JOIN documents USING (doc_id)")
+def _(spark, sf_dir):
+    from ..functions import sql
+
+    pack, planned = _built(spark, sf_dir)
+    sql.register_refs(spark)
+    sql.register_reader(spark, pack.folder)
+    planned.select(F.col("ord").alias("doc_id"), "ref").createOrReplaceTempView("packlake_refs_all")
+    return spark.sql("SELECT doc_id, ref_key(ref) AS key, ref_shard(ref) AS shard, hex(x.payload) AS bytes FROM packlake_refs_all, LATERAL read_range(ref, 2, 8) AS x")
+
+
+@_query("read_many_all", "SELECT doc_id * 2 + k AS n, sha256(text) AS sha256 FROM documents, (SELECT unnest([0, 1]) AS k)")
+def _(spark, sf_dir):
+    pack, planned = _built(spark, sf_dir)
+    asked = planned.select((F.col("ord") * 2).alias("n"), F.col("ref").alias("item")).union(planned.select(F.col("ord") * 2 + 1, "key"))
+    return pack.resolve(asked, "item").orderBy("n").select("n", F.sha2("payload", 256).alias("sha256"))
+
+
+@_query(
+    "iter_split_all",
+    f"""{_fold(_DOC, MAX)}, t AS (SELECT count(*) AS n FROM p)
+        SELECT k.w::BIGINT AS worker, key, (rn - 1)::BIGINT AS position FROM p, t, (SELECT unnest(generate_series(0, 6)) AS w) k
+        WHERE rn - 1 >= k.w * t.n // 7 AND rn - 1 < (k.w + 1) * t.n // 7""",
+)
+def _(spark, sf_dir):
+    pack, _ = _built(spark, sf_dir)
+    parts = [pack.scan(worker=i, workers=7, payload=False).select(F.lit(i).cast("long").alias("worker"), "key", "position") for i in range(7)]
+    return reduce(DataFrame.union, parts)
+
+
 # integrity
 
 

@@ -14,3 +14,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driv
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_sql(spark, name):
     harness.assert_same(catalog.QUERIES[name](spark, SMALL), catalog.ORACLES[name], SMALL)
+
+
+def test_whole_tables_are_read(spark):
+    n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    assert [catalog.QUERIES[q](spark, SMALL).count() for q in ("sql_functions_all", "read_many_all", "iter_split_all")] == [n, 2 * n, n]
