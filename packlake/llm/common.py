@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -44,6 +45,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that nothing refers to any more; else they stay until the
+    driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def portions(texts: list, most: int) -> Iterator[list]:
     """`texts` in runs of about `most` characters or bytes; a longer text makes a run of its own."""
     part: list = []

@@ -29,10 +29,8 @@ FEW = 3
 PORTION = 4_000_000
 #: Texts, about, in the sample that tells common shingles, and the most of these that are sent to all tasks.
 SAMPLE, MOST_COMMON = 5_000, 100_000
-#: Nodes under one shingle up to which all their pairs are listed at once.
-MOST_PAIRED = 4
-#: Each tells which node of a key the others are compared with: the one smallest after an exclusive or.
-STARS = (0, 0x5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3)
+#: Texts under one shingle that the others are compared with in the first round; in later ones each time 16 times more.
+HUBS = 4
 
 
 def masks(radius: int, bits: int = BITS) -> list[int]:
@@ -277,40 +275,67 @@ def near_duplicates(
     return prints.join(of_value, prints.simhash == of_value.v).select(F.col("id").alias(id), "simhash", "component")
 
 
-def keep_one(df: DataFrame, size: int = 5, similarity: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 4, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `df`, with all their columns, that stay when of each group of near duplicates one does: the one of
     the smallest id. Texts are near duplicates if the Jaccard likeness of their sets of `size`-word shingles is at least
     `similarity`; groups are what such pairs connect.
 
-    Candidates are exact: with shingles in any one order, two sets of that likeness share a shingle among the first
-    n - ceil(similarity * n) + 1 of each. Shingles common in a sample come last in the order, so that few texts meet under
-    one; the sample steers cost alone. Candidate pairs are compared by all their shingles. Equal texts are one node from
-    the start. Of repeated rows one stays. Null and empty texts are equal texts. Rows without an id are only compared for
-    equal texts, and yield to rows with one. An empty table gives an empty table.
+    Pairs come from two searches, and all are verified by their whole sets. Fingerprints that covering tables link within
+    `radius` bits join what differs least, so that dense groups fall together early. Likeness alone decides about the
+    rest: with shingles in any one order, two sets of that likeness share one among the first n - ceil(similarity * n) + 1
+    of each, so no pair is left out. Shingles common in a sample come last in that order, so that few texts meet under
+    one; the sample steers cost alone.
+
+    Ids are whole numbers. Equal texts are one node from the start, however many; null and empty texts are equal texts.
+    Of repeated rows one stays. Of rows without an id one stays for each text that no row with an id has, and they are
+    compared for equal texts only. Very long texts are compared whole. An empty table gives an empty table; other
+    columns, of whatever names, are kept as they are.
     """
     plain = F.coalesce(common.quoted(text).cast("string"), F.lit(""))
+    number = common.quoted(id).cast("long")
     key = [F.xxhash64(plain).alias("k1"), F.xxhash64(plain, F.lit(1)).alias("k2")]
-    mine = df.select(common.quoted(id).cast("long").alias("id"), *key, plain.alias("text"))
+    mine = df.select(number.alias("id"), *key, plain.alias("text"))
     shared = df.sparkSession.sparkContext.broadcast(_common_shingles(mine, size))
 
     def make():
         known, counts = shared.value
 
         def run(texts):
-            sets = [shingle_set(t, size) for t in texts.to_pylist()]
-            return [pa.array([len(x) for x in sets], pa.int32()), pa.array([_prefix(x, similarity, known, counts).tobytes() for x in sets], pa.binary())]
+            n, prefix, prints = [], [], []
+            for t in texts.to_pylist():
+                s = shingle_set(t, size)
+                n.append(len(s))
+                prefix.append(_prefix(s, similarity, known, counts).tobytes())
+                prints.append(_majority(s))
+            return [pa.array(n, pa.int32()), pa.array(prefix, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))]
 
         return run
 
-    prints = common.map_arrow(mine, [F.col("text").cast("binary")], [("n", T.IntegerType()), ("prefix", T.BinaryType())], make, ["id", "k1", "k2"])
-    texts = common.checkpoint(prints.groupBy("k1", "k2").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    roots = _grouped(mine, texts.where("node is not null").select("node", "n", "prefix"), size, similarity)
-    texts = texts.join(roots, "node", "left").where(F.col("root").isNull() | (F.col("root") == F.col("node")))
-    stay = texts.select(F.col("node").alias("__node"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-    same = (key[0] == F.col("__k1")) & (key[1] == F.col("__k2")) & common.quoted(id).cast("long").eqNullSafe(F.col("__node"))
-    once = Window.partitionBy("__k1", "__k2", "__node").orderBy(F.lit(0))
-    kept = df.join(stay, same).withColumn("__row", F.row_number().over(once)).where("__row = 1")
-    return kept.select(*map(common.quoted, df.columns))
+    kinds = [("n", T.IntegerType()), ("prefix", T.BinaryType()), ("v", T.LongType())]
+    prints = common.map_arrow(mine, [F.col("text").cast("binary")], kinds, make, ["id", "k1", "k2"])
+    some = [F.first(c).alias(c) for c in ("n", "prefix", "v")]
+    texts = common.checkpoint(prints.groupBy("k1", "k2").agg(F.min("id").alias("id"), *some).withColumn("node", F.col("k1")))
+    common.release(df.sparkSession)
+    roots = _grouped(mine, texts.where("id is not null"), size, similarity, radius)
+    common.release(df.sparkSession)
+    grouped = texts.where("id is not null").select("node", "id", "k1", "k2").join(roots, "node")
+    best = grouped.groupBy("root").agg(F.min(F.struct("id", "k1", "k2")).alias("best")).select("best.*")
+    alone = texts.join(roots, "node", "left_anti").select("id", "k1", "k2")
+    # what goes, by id and text: of a group all but its first, of a text all but its smallest id
+    k1, k2, k3 = (common.unique_name(df.columns, f"__k{i}") for i in (1, 2, 3))
+    rows = mine.groupBy("id", "k1", "k2").agg(F.count("*").alias("times"))
+    kept = alone.union(best).toDF("j", "j1", "j2")
+    same = F.col("id").eqNullSafe(F.col("j")) & (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2"))
+    rows = rows.join(kept, same, "left").select(F.col("id").alias(k3), F.col("k1").alias(k1), F.col("k2").alias(k2), "times", F.col("j1").isNotNull().alias("stays"))
+    rows = common.checkpoint(rows.where("not stays or times > 1"))
+    here = (key[0] == F.col(k1)) & (key[1] == F.col(k2)) & number.eqNullSafe(F.col(k3))
+    columns = [common.quoted(c) for c in df.columns]
+    once = df.join(rows.select(k1, k2, k3), here, "left_anti")
+    repeated = rows.where("stays").select(k1, k2, k3)
+    if repeated.isEmpty():
+        return once.select(*columns)
+    again = df.join(repeated, here).dropDuplicates([k1, k2, k3])
+    return once.select(*columns).union(again.select(*columns))
 
 
 def _common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -329,6 +354,11 @@ def _common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     return h[order], np.array([r[1] for r in rows], np.int64)[order]
 
 
+def _least_common(n, m, similarity: float):
+    """Shingles that sets of n and m must share to be alike, at least."""
+    return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+
+
 def _prefix(shingles: np.ndarray, similarity: float, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first of a text's shingles, by their counts in the sample and then by hash."""
     n = len(shingles)
@@ -340,117 +370,134 @@ def _prefix(shingles: np.ndarray, similarity: float, known: np.ndarray, counts:
     return shingles[np.argsort(count, kind="stable")[:most]]
 
 
-def _spread(batches):
-    for batch in batches:
-        sizes = [len(x) // 8 for x in batch.column("prefix").to_pylist()]
-        keys = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.int64)
-        for at in range(0, len(keys), 100_000):
-            part = slice(at, at + 100_000)
-            own = pa.array(np.repeat(np.arange(len(sizes)), sizes)[part])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), batch.column("node").take(own), batch.column("n").take(own)], names=["key", "node", "n"])
-
-
-def _in_company(similarity: float):
-    """For rows (key, node, n) sorted by key and n: those with another row of their key whose n lets them be alike."""
+def _spread(similarity: float):
+    """For rows (node, n, prefix): (key, place, node) for each shingle of the prefix. place: n and the number of shingles
+    from this one on, after a bit that is set where too few are left for it to be the first that this text shares with
+    one as long or longer."""
 
     def run(batches):
-        held, paired = None, False  # the last row so far, and whether it is wanted for the one before it
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, node, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if held is not None:
-                key, node, n = (np.concatenate([[h], c]) for h, c in zip(held, (key, node, n), strict=True))
-            near = (key[1:] == key[:-1]) & (n[:-1] >= similarity * n[1:])
-            before = np.concatenate([[paired], near])
-            good = np.flatnonzero(before[:-1] | near)
-            yield pa.RecordBatch.from_arrays([pa.array(key[good]), pa.array(node[good]), pa.array(n[good].astype(np.int32))], names=["key", "node", "n"])
-            held, paired = (key[-1], node[-1], n[-1]), bool(before[-1])
-        if paired:
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["key", "node", "n"])
+            sizes = np.array([len(x) // 8 for x in batch.column("prefix").to_pylist()], np.int64)
+            keys = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.int64)
+            own = np.repeat(np.arange(len(sizes)), sizes)
+            n = batch.column("n").to_numpy().astype(np.int64)[own]
+            left = n - (np.arange(len(keys)) - (np.cumsum(sizes) - sizes)[own])
+            place = ((left < _least_common(n, n, similarity)).astype(np.int64) << 62) | (n << 31) | left
+            node = batch.column("node").to_numpy()[own]
+            for at in range(0, len(keys), 100_000):
+                columns = [c[at : at + 100_000] for c in (keys, place, node)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "place", "node"])
 
     return run
 
 
-def _grouped(texts: DataFrame, heads: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(node, root) of the groups that pairs alike connect, among the pairs that share a shingle in `heads` (node, n,
-    prefix).
-
-    All pairs under a key of few nodes are compared. Under others every node is first compared with one of them, another
-    one each time, so that dense groups grow together without their pairs being listed; then all pairs that are not in
-    one group yet and were not compared are, so that none is left out.
+def _in_company(batches):
+    """For rows sorted by key and place: those of keys with several rows, the first of which is not late."""
+    names = ["key", "place", "node"]
+    held, held_first, early = None, True, False  # the last row so far; whether it is the first of its key; whether that one is early
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate([[h], c]) for h, c in zip(held, columns, strict=True)]
+        key, late = columns[0], columns[1] >> 62 != 0
+        again = key[1:] == key[:-1]
+        new = np.concatenate([[held_first], ~again])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        good = np.where(first >= 0, ~late[np.maximum(first, 0)], early)
+        early, held_first, held = bool(good[-1]), bool(new[-1]), [c[-1] for c in columns]
+        good &= ~new | np.append(again, False)
+        good[-1] = False
+        yield pa.RecordBatch.from_arrays([pa.array(c[good]) for c in columns], names=names)
+    if held is not None and early and not held_first:
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([x])) for x in held], names=names)
+
+
+def _grouped(texts: DataFrame, nodes: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
+    """(node, root) of the groups that pairs alike connect. nodes: (node, n, prefix, v) of distinct texts, v the
+    fingerprint of the set; texts: (k1, id, text) of all rows, nodes also having the smallest id and k1 of their texts.
+
+    Under every shingle some texts, the hubs, are compared with all others; what is alike falls together, and shingles
+    with texts of several groups go on with more hubs, until each has only one group or no text left that wasn't a hub.
+    So no list of all pairs is made, dense groups cost a few comparisons a text, and no pair is left out.
     """
-    spread = heads.mapInArrow(_spread, "key long, node long, n int").repartition("key").sortWithinPartitions("key", "n")
-    posts = common.checkpoint(spread.mapInArrow(_in_company(similarity), "key long, node long, n int"))
-    heads = common.checkpoint(heads.join(posts.select("node").distinct(), "node", "left_semi"))
-    wide = posts.groupBy("key").count().where(F.col("count") > MOST_PAIRED).select("key")
-    few, posts = posts.join(wide, "key", "left_anti"), common.checkpoint(posts.join(wide, "key", "left_semi"))
-    none = texts.sparkSession.createDataFrame([], "a long, b long")
-
-    def listed(rows):
-        """All pairs under a key of rows (key, node, n, root) of different roots."""
-        other = rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("s"))
-        near = (F.col("root") != F.col("s")) & (F.col("node") > F.col("b")) & (F.least("n", "m") >= similarity * F.greatest("n", "m"))
-        return rows.join(other, "key").where(near).select(F.col("node").alias("a"), "b")
-
-    pairs = listed(few.withColumn("root", F.col("node")))
-    alike, tested, roots = none, none, components(none)
-    for mask in (*STARS, None):
+    distinct = nodes.groupBy("v").agg(F.min("node").alias("least"))
+    first, second = distinct.toDF("a", "x"), distinct.toDF("b", "y")
+    near = links(distinct.select("v"), radius).join(first, "a").join(second, "b").select("x", "y")
+    near = near.union(nodes.join(distinct, "v").where("node != least").select("least", "node"))
+    pairs = common.checkpoint(near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    spread = nodes.select("node", "n", "prefix").mapInArrow(_spread(similarity), "key long, place long, node long")
+    posts = common.checkpoint(spread.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_in_company, spread.schema))
+    bits = lambda c, at: F.shiftright(c, at).bitwiseAND(F.lit((1 << 31) - 1))
+    posts = posts.select("key", "node", bits("place", 31).alias("n"), bits("place", 0).alias("left"), (F.col("place") >= 1 << 62).alias("late"))
+    known = posts.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    common.release(texts.sparkSession)
+    heads = common.checkpoint(nodes.join(known, "node", "left_semi").select("node", "id", "n", "prefix"))
+    common.release(texts.sparkSession)
+    roots, tested, hubs = components(pairs.limit(0)), pairs.limit(0), HUBS
+    while True:
         now = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        hub = F.min(F.col("node").bitwiseXOR(F.lit(mask or 0))).bitwiseXOR(F.lit(mask or 0))
-        live = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), hub.alias("hub")).where("lo != hi").select("key", "hub")
-        now = common.checkpoint(now.join(live, "key"))
-        posts = now.select("key", "node", "n")
-        if mask is None:
-            found = listed(now)
-        else:
-            found = now.where("node != hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
-        pairs = common.checkpoint((found if pairs is None else pairs.union(found)).distinct().join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            close = common.checkpoint(_alike(heads.select("node", "prefix", "n"), pairs, similarity, True))
-            involved = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-            alike = common.checkpoint(alike.union(_alike(_sets(texts, involved, size), close, similarity)))
-            tested = common.checkpoint(tested.union(pairs))
-            roots = components(alike)
-        pairs = None
-        if posts.isEmpty():
-            break
-    return roots
-
-
-def _sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, shingles) of the texts (id, text) of some ids, equal texts under an id being equal too."""
+        live = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("late").alias("late"))
+        now = common.checkpoint(now.join(live.where("lo != hi and not late").select("key"), "key", "left_semi"))
+        if now.isEmpty() and hubs > HUBS:
+            return roots
+        in_turn = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+        chosen = now.where("not late").withColumn("turn", F.row_number().over(in_turn)).where(F.col("turn") <= hubs)
+        chosen = chosen.select("key", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("left").alias("rest"), F.col("root").alias("hub_root"))
+        need = F.ceil((F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-9)
+        fits = (F.col("root") != F.col("hub_root")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9) & (F.least("left", "rest") >= need)
+        found = now.join(chosen, "key").where(fits).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+        found = (pairs if hubs == HUBS else pairs.limit(0)).union(found).distinct().join(tested, ["a", "b"], "left_anti")
+        found = common.checkpoint(found)
+        common.release(texts.sparkSession)
+        if not found.isEmpty():
+            alike = _alike(texts, heads, found, size, similarity)
+            roots = components(alike.union(roots.where("node != root")))
+            tested = tested.union(found)
+            common.release(texts.sparkSession)
+        posts = now.drop("root").join(chosen.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
+        hubs *= 16
+
+
+def _alike(texts: DataFrame, heads: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles are alike; heads: (node, id, n, prefix), texts: (k1, id, text).
+
+    First by prefixes: beyond what two of them share, no more can be common than lies behind the one that ends first.
+    Whole sets are made for what is left.
+    """
+    first, second = (heads.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"s{c}")) for c in "ab")
+    close = pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb", "na", "nb")
+    close = common.checkpoint(close.mapInArrow(_compare(similarity), "a long, b long"))
+    common.release(texts.sparkSession)
+    wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(heads, "node").select(F.col("node").alias("k1"), "id")
 
     def sets(batches):
         for batch in batches:
-            packed = [shingle_set((t or "").encode(), size).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], names=["id", "shingles"])
+            found = [shingle_set((t or "").encode(), size) for t in batch.column("text").to_pylist()]
+            columns = [batch.column("k1"), pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "set"])
 
-    mine = texts.select("id", "text").join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
-    return common.checkpoint(mine.dropDuplicates(["id"]))
+    one = texts.select("k1", "id", "text").join(wanted, ["k1", "id"], "left_semi").dropDuplicates(["k1", "id"])
+    whole = common.checkpoint(one.select("k1", "text").mapInArrow(sets, "id long, n int, set binary"))
+    common.release(texts.sparkSession)
+    both = close.join(whole.toDF("a", "na", "sa"), "a").join(whole.toDF("b", "nb", "sb"), "b").select("a", "b", "sa", "sb", "na", "nb")
+    return both.mapInArrow(_compare(similarity), "a long, b long")
 
 
-def _alike(sets: DataFrame, pairs: DataFrame, similarity: float, prefixes: bool = False) -> DataFrame:
-    """The pairs (a, b) of ids whose shingles are alike. sets: (id, shingles, and their number where these are prefixes).
+def _compare(similarity: float):
+    """For rows (a, b, sa, sb, na, nb): those (a, b) whose sets may be alike. sa, sb: the first shingles of sets of na and nb."""
 
-    By prefixes alone, those pairs that may be alike: beyond what two prefixes share, no more can be common than lies
-    behind the one that ends first.
-    """
-    sets = sets.toDF("id", "shingles", "n") if prefixes else sets.withColumn("n", (F.octet_length("shingles") / 8).cast("int"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), F.col("n").alias("nx")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"), F.col("n").alias("ny")), "b")
-    both = both.where(F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
-
-    def compare(batches):
+    def run(batches):
         for batch in batches:
             good = []
-            for x, y, n, m in zip(*(batch.column(c) for c in ("x", "y")), *(batch.column(c).to_pylist() for c in ("nx", "ny")), strict=True):
+            for x, y, n, m in zip(batch.column("sa"), batch.column("sb"), batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True):
                 p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both_ = len(np.intersect1d(p, q, assume_unique=True)) + max(n - len(p), m - len(q))
-                good.append(both_ >= similarity * (n + m - both_) - (1e-9 if prefixes else 0))
+                both = len(np.intersect1d(p, q, assume_unique=True)) + max(n - len(p), m - len(q))
+                good.append(both >= similarity * (n + m - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "x", "y", "nx", "ny").mapInArrow(compare, "a long, b long")
+    return run
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
