@@ -43,67 +43,99 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
-def _run(a: argparse.Namespace, spark) -> int:
-    from .operators import convert, integrity
+def _pack(a, spark) -> int:
+    from .operators import convert
+    from .plans.layout import Limits
+
+    options = {"ref_base": a.ref_base, "limits": Limits(a.max_pack_bytes)}
+    if a.command == "pack":
+        done = convert.pack_files(spark, a.src, a.dst, **options)
+    else:
+        done = convert.pack_tars(spark, a.src, a.dst, shard_prefix=a.shard_prefix, **options)
+    blobs, size, last = done.selectExpr("count(*)", "sum(size)", "max(shard_id)").first()
+    print(f"{a.dst}: {blobs} blobs, {size:,} bytes, {last + 1} shards")
+    return 0
+
+
+def _unpack(a, spark) -> int:
+    from .operators import convert
+    from .operators.packs import Pack
+
+    print(f"{a.dst}: {convert.unpack(Pack(spark, a.src), a.dst)} blobs")
+    return 0
+
+
+def _ls(a, spark) -> int:
     from .operators.packs import Pack
+
+    pack = Pack(spark, a.src)
+    pack.check_unique()
+    for r in pack.index().orderBy("shard", "ordinal").select("size", "shard", "key").toLocalIterator():
+        print(r.size, r.shard, r.key, sep="\t")
+    return 0
+
+
+def _manifest(a, spark) -> int:
+    from .operators import integrity
+
+    _some_shards(a.src)
+    print(f"digests are in {integrity.write_manifest(spark, a.src, a.force)}")
+    return 0
+
+
+def _verify(a, spark) -> int:
+    from .operators import integrity
+
+    _some_shards(a.src)
+    problems, totals = integrity.verify(spark, a.src)
+    bad = 0
+    for bad, r in enumerate(problems.orderBy("shard", "key").toLocalIterator(), 1):
+        print("\t".join(filter(None, ("BAD", r.shard, r.key, r.kind, r.detail))))
+    print(f"{'OK' if not bad else f'BAD, {bad} findings'}: " + ", ".join(f"{v} {k}" for k, v in totals.first().asDict().items()))
+    return min(bad, 1)
+
+
+def _some_shards(folder: str) -> None:
+    from .operators import integrity
+
+    if not integrity.list_files(folder):
+        raise FileNotFoundError(f"no shards in {folder}")
+
+
+def _convert_parquet(a, spark) -> int:
+    from .operators import convert
     from .plans.layout import Limits
 
-    if a.command in ("pack", "convert-wds"):
-        options = {"ref_base": a.ref_base, "limits": Limits(a.max_pack_bytes)}
-        try:
-            if a.command == "pack":
-                done = convert.pack_files(spark, a.src, a.dst, **options)
-            else:
-                done = convert.pack_tars(spark, a.src, a.dst, shard_prefix=a.shard_prefix, **options)
-        except FileNotFoundError as e:
-            print(f"error: {e}", file=sys.stderr)
-            return 2
-        rows = done.selectExpr("count(*)", "sum(size)", "max(shard_id) + 1").first()
-        print(f"packed {rows[0]} blobs ({rows[1]:,} bytes) into {rows[2]} shards under {a.dst}")
-    elif a.command == "unpack":
-        print(f"unpacked {convert.unpack(Pack(spark, a.src), a.dst)} blobs into {a.dst}")
-    elif a.command == "ls":
-        pack = Pack(spark, a.src)
-        pack.check_unique()
-        for r in pack.index().orderBy("shard", "ordinal").select("size", "shard", "key").toLocalIterator():
-            print(f"{r.size}\t{r.shard}\t{r.key}")
-    elif a.command in ("manifest", "verify"):
-        if not integrity.list_files(a.src):
-            print(f"error: no shards in {a.src}", file=sys.stderr)
-            return 2
-        if a.command == "manifest":
-            try:
-                print(f"wrote {integrity.write_manifest(spark, a.src, a.force)}")
-            except FileExistsError as e:
-                print(f"error: {e}", file=sys.stderr)
-                return 2
-        else:
-            problems, totals = integrity.verify(spark, a.src)
-            n = 0
-            for r in problems.orderBy("shard", "key").toLocalIterator():
-                n += 1
-                print(f"FAIL {r.shard}{':' + r.key if r.key else ''}: {r.kind}{f' ({r.detail})' if r.detail else ''}")
-            t = totals.first()
-            print(f"{'FAILED' if n else 'OK'}: {t.blobs} blobs, {t.bytes:,} bytes, {t.shards} shards, {n} problems")
-            return int(n > 0)
-    elif a.command == "convert-parquet":
-        print(json.dumps(convert.plan_parquet(a.src, a.column, a.field), indent=2))
-        if a.dry_run:
-            return 0
-        if not a.yes:
-            if not sys.stdin.isatty():
-                raise PackError("say --yes to accept the plan")
-            if input("Extract these fields? [y/N] ").strip().lower() not in ("y", "yes"):
-                return 0
+    found = convert.plan_parquet(a.src, a.column, a.field)
+    for key, value in found.items():
+        print(f"{key}: {json.dumps(value)}")
+    if not a.dry_run and _agreed(a.yes):
         convert.convert_parquet(spark, a.src, a.dst, columns=a.column, fields=a.field, limits=Limits(a.max_pack_bytes))
-    elif a.command == "convert-lance":
-        if a.yes and not a.column:
-            print("error: say which columns with --column", file=sys.stderr)
-            return 2
-        convert.convert_lance(a.src, a.dst)
     return 0
 
 
+def _agreed(said: bool) -> bool:
+    """Whether to go on: said on the command line, or asked where somebody can answer."""
+    if said or sys.stdin.isatty():
+        return said or input("go on? [y/N] ").lower().startswith("y")
+    raise PackError("nobody can be asked here; --yes goes on without asking")
+
+
+def _convert_lance(a, spark) -> int:
+    from .operators import convert
+
+    if a.yes and not a.column:
+        raise FileNotFoundError("--yes needs the columns, by --column")
+    convert.convert_lance(a.src, a.dst)
+    return 0
+
+
+COMMANDS = {
+    "pack": _pack, "convert-wds": _pack, "unpack": _unpack, "ls": _ls, "manifest": _manifest, "verify": _verify,
+    "convert-parquet": _convert_parquet, "convert-lance": _convert_lance,
+}
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     a = _parser().parse_args(argv)
     if spark is None:
@@ -111,10 +143,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
         spark = SparkSession.builder.appName("packlake").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
-        return _run(a, spark)
-    except (PackError, ValueError) as e:
+        return COMMANDS[a.command](a, spark)
+    except (PackError, ValueError, FileNotFoundError, FileExistsError) as e:
         print(f"error: {e}", file=sys.stderr)
-        return 1
+        return 2 if isinstance(e, OSError) else 1  # 2: what was asked for can't be begun
     except BrokenPipeError:  # whoever read the list has seen enough
         os.dup2(os.open(os.devnull, os.O_WRONLY), sys.stdout.fileno())
         return 0

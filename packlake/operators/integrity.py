@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PackError
 from ..sources.ranges import filesystem, list_files
-from ..sources.shards import ENCRYPTED
+from ..sources.shards import SECRET
 
 MANIFEST = "pack.manifest.json"
 PROBLEMS = "shard string, key string, kind string, detail string"
@@ -96,7 +96,7 @@ def _members(first_only: bool):
                     problems = []
                     if m.compress_type != zipfile.ZIP_STORED:
                         problems.append("not STORED")
-                    if m.flag_bits & ENCRYPTED:
+                    if m.flag_bits & SECRET:
                         problems.append("encrypted")
                     elif not (broken and first_only):
                         try:

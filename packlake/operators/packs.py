@@ -44,7 +44,7 @@ def write_planned(blobs: DataFrame, starts: list, folder: str, prefix: str = "pa
     spark = register(blobs.sparkSession)
     if not starts:
         raise PackError("nothing to pack")
-    content = [c for c in ("payload", "path", "size") if c in blobs.columns]
+    content = [c for c in ("payload", "path", "size", "offset") if c in blobs.columns]
     dealt = blobs.withColumn("shard_id", shard_of(F.col("ord"), starts, dict(blobs.dtypes)["ord"])).select("shard_id", "ord", "key", *content)
     n = min(len(starts), max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     dealt = dealt.repartition(n, "shard_id").sortWithinPartitions("shard_id", "ord").drop("ord")
@@ -54,7 +54,7 @@ def write_planned(blobs: DataFrame, starts: list, folder: str, prefix: str = "pa
 def write_pack(blobs: DataFrame, folder: str, *, ref_base: str | None = None, prefix: str = "pack", limits: Limits = Limits(), layout: str = "exact") -> DataFrame:
     """Write blobs into a new pack; returns (ord, key, size, shard_id, ref) for each.
 
-    blobs: (ord, key, payload) or (ord, key, path, size), and group or not. ord orders them and has no ties. Sizes, keys
+    blobs: (ord, key, payload) or (ord, key, path, size[, offset]), and group or not. ord orders them and has no ties. Sizes, keys
     and groups are planned first; then payloads are shuffled once, by shard. A null payload is no blob and is left out;
     an empty one is a blob of no bytes. Nothing appears under a shard's name before all tasks have succeeded.
     """
@@ -116,13 +116,12 @@ class Pack:
         whole = refs.is_ref(ref)
         own = whole & refs.base_matches(ref, self.ref_base)
         df = df.withColumn("__key", F.when(own, refs.ref_key(ref)).when(~whole, ref)).withColumn("__shard", F.when(own, refs.ref_shard(ref)))
-        bare = not df.where(~whole & ref.isNotNull()).isEmpty()
-        shards = None
-        if not bare:
-            named = [r[0] for r in df.select("__shard").where("__shard is not null").distinct().limit(MOST_NAMED + 1).collect()]
-            if len(named) <= MOST_NAMED:
-                shards = [s for s in named if s in self.paths]
-        elif unique:
+        asked = df.where(ref.isNotNull()).select((~whole).alias("bare"), "__shard").distinct()
+        asked = asked.orderBy(F.desc("bare")).limit(MOST_NAMED + 2).collect()
+        bare = bool(asked) and asked[0].bare
+        named = {r[1] for r in asked if r[1] is not None}
+        shards = [s for s in named if s in self.paths] if not bare and len(named) <= MOST_NAMED else None
+        if bare and unique:
             self.check_unique()
         index = self.index(shards).select("shard", F.col("key").alias("__ikey"), "ordinal", "header_offset", "size")
         index = index.withColumnsRenamed({"shard": "__ishard", "ordinal": "__ordinal", "header_offset": "__offset", "size": "__size"})
@@ -147,13 +146,15 @@ class Pack:
             raise ValueError(f"the table already has a column {out}")
         whole = F.lit(None).cast("long")
         df = df.withColumn("__start", whole if start is None else start.cast("long")).withColumn("__length", whole if length is None else length.cast("long"))
-        found = self._located(df, column, unique=True)
+        found = self._located(df.where(F.col(column).isNotNull()), column, unique=True)
         stretch = F.coalesce((F.col("__offset") / STRETCH).cast("int"), F.pmod(F.hash("__key"), F.lit(64)))
         found = found.repartition("__ishard", stretch).sortWithinPartitions("__ishard", "__offset")
         schema = df.select(*columns).schema.add(out, "binary").add(f"{out}_error_class", "string").add(f"{out}_error", "string")
         read = found.select(*columns, F.col(column).alias("__ref"), "__ishard", "__ordinal", "__start", "__length").mapInArrow(
             _reader(dict(self.paths), len(columns), mode == "lenient", schema.names), schema
         )
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields[len(columns) :]]
+        read = read.union(df.where(F.col(column).isNull()).select(*columns, *none))  # as they are, where they are
         return read if mode == "lenient" else read.drop(f"{out}_error_class", f"{out}_error")
 
     def contains(self, df: DataFrame, column: str) -> DataFrame:
@@ -165,7 +166,8 @@ class Pack:
         return self._located(df, column, unique=True).where(F.col("__ordinal").isNull() & F.col(column).isNotNull()).select(*df.columns)
 
     def read_many(self, items: list[str]) -> list[bytes]:
-        """Payloads in the order asked for; repeated items are allowed."""
+        """Payloads in the order asked for; repeated items are allowed. All of them come to the driver: for more than fits
+        there, resolve() a table."""
         asked = self.spark.createDataFrame(list(enumerate(items)), "n long, item string")
         return [bytes(r.payload) for r in self.resolve(asked, "item").orderBy("n").select("payload").collect()]
 

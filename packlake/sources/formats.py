@@ -159,7 +159,8 @@ class _TarReader(_ByFile):
 
 
 class _TarIndexReader(_ByFile):
-    """Where the regular files of uncompressed archives begin; payloads aren't read but skipped."""
+    """Where the regular files of archives begin; payloads aren't read but skipped. Those of a compressed archive have a
+    null place, or are an error unless the option `compressed` is true."""
 
     suffix = "*.tar"
 
@@ -167,14 +168,25 @@ class _TarIndexReader(_ByFile):
         if not partition.path:
             return
         fs, at = filesystem(partition.path)
+        prefix = partition.name.rsplit(".", 1)[0] + "/" if self.options.get("prefix", "false").lower() == "true" else ""
         rows = []
-        with fs.open_input_file(at) as raw, tarfile.open(fileobj=raw, mode="r:") as tar:
+
+        def listed(tar, plain):
             for member in tar:
                 if member.isfile():
                     key = member.name
                     while key.startswith("./"):
                         key = key[2:]
-                    rows.append((partition.name, len(rows), key, member.size, partition.path, member.offset_data))
+                    rows.append((partition.name, len(rows), prefix + key, member.size, partition.path, member.offset_data if plain else None))
+
+        try:
+            with fs.open_input_file(at) as raw, tarfile.open(fileobj=raw, mode="r:") as tar:
+                listed(tar, True)
+        except tarfile.ReadError:
+            if rows or self.options.get("compressed", "false").lower() != "true":
+                raise
+            with fs.open_input_stream(at, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as tar:
+                listed(tar, False)
         schema = _schema(TAR_INDEX)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -186,7 +198,7 @@ class Written(WriterCommitMessage):
 
 
 class _PackWriter(DataSourceArrowWriter):
-    """Rows (shard_id, key, payload) or (shard_id, key, path, size), a shard's rows together and in order.
+    """Rows (shard_id, key, payload) or (shard_id, key, path, size[, offset]), a shard's rows together and in order.
 
     A task writes hidden files of its own attempt; the driver gives those of successful attempts their names. A failed
     or speculative attempt leaves nothing under a shard's name.
@@ -226,9 +238,14 @@ class _PackWriter(DataSourceArrowWriter):
                     if data is not None:
                         writer.add(key, io.BytesIO(data), len(data))
                     else:
+                        size, start = column["size"][i].as_py(), column["offset"][i].as_py() if "offset" in column else None
                         fs, at = filesystem(column["path"][i].as_py())
-                        with fs.open_input_stream(at, compression=None) as stream:
-                            writer.add(key, stream, column["size"][i].as_py())
+                        if start is None:
+                            with fs.open_input_stream(at, compression=None) as stream:
+                                writer.add(key, stream, size)
+                        else:
+                            with fs.open_input_file(at) as whole:
+                                writer.add(key, whole.get_stream(start, size), size)
             finish()
         except BaseException:
             for path in [p for p, *_ in done] + ([writer.path] if writer else []):
@@ -238,9 +255,8 @@ class _PackWriter(DataSourceArrowWriter):
         return Written(done)
 
     def commit(self, messages):
-        for m in messages:
-            for path, name, *_ in m.files if m else ():
-                os.rename(path, os.path.join(self.folder, name))
+        for path, name, *_ in sorted((f for m in messages if m for f in m.files), key=lambda f: (len(f[1]), f[1])):
+            os.rename(path, os.path.join(self.folder, name))
 
     def abort(self, messages):
         for m in messages:

@@ -327,9 +327,10 @@ def test_columns_become_references(spark, tmp_path):
 
 def test_candidates(spark):
     df = spark.createDataFrame([(i, b"\xff\xd8\xff" + b"x" * i, b"h" * 32) for i in range(8)], "id long, img binary, sha binary")
-    img, sha = measure.candidates(df, "id", ["img"])
-    assert (img.extract, img.kinds, img.min_bytes, img.max_bytes, img.mean_bytes) == (True, ["JPEG"], 3, 10, 6) and not sha.extract
-    assert "JPEG" in measure.render([img, sha], ["id"])
+    found = measure.candidates(df, "id", ["img"])
+    img, sha = found.collect()
+    assert (img.chosen, img.kinds, img.min_bytes, img.max_bytes, img.mean_bytes) == (True, ["JPEG"], 3, 10, 6) and not sha.chosen
+    assert [r.line.split(";")[0] for r in measure.report(found).collect()] == ["img goes into packs", "sha stays"]
     for columns in (["id"], ["none"], []):
         with pytest.raises(PackError):
             measure.candidates(df, "id", columns)
