@@ -13,7 +13,7 @@ from ..errors import PackError, UnknownBlob
 from ..functions import refs
 from ..plans.layout import Limits, plan, ref_path_of, shard_of, shard_starts
 from ..sources.formats import BYTES, ROWS, register
-from ..sources.ranges import Handles, Ranges, list_files
+from ..sources.ranges import Handles, Ranges, carry, list_files, with_options
 from ..sources.shards import Shard
 
 #: Shards that references may name for only these to be listed; beyond, all are.
@@ -70,9 +70,12 @@ def write_pack(blobs: DataFrame, folder: str, *, ref_base: str | None = None, pr
 class Pack:
     """A folder of shards. Nothing is opened before it is needed, and then only the shards that are."""
 
-    def __init__(self, spark: SparkSession, folder: str, *, ref_base: str | None = None, pattern: str = "*.zip", validate: bool = False):
-        self.spark, self.folder, self.pattern = register(spark), folder.rstrip("/"), pattern
+    def __init__(
+        self, spark: SparkSession, folder: str, *, ref_base: str | None = None, pattern: str = "*.zip", validate: bool = False, options: dict | None = None
+    ):
+        """options: of the store that holds the folder, for remote ones."""
         self.ref_base = refs.default_base(folder) if ref_base is None else ref_base
+        self.spark, self.folder, self.pattern = register(spark), with_options(folder.rstrip("/"), options), pattern
         files = list_files(self.folder, pattern)
         if not files:
             raise PackError(f"no shards in {folder}")
@@ -81,6 +84,17 @@ class Pack:
             self.index(validate=True).agg(F.count("*")).collect()
             self.check_unique()
 
+    @classmethod
+    def from_fs(cls, spark: SparkSession, fs, folder: str, *, ref_base: str | None = None, **how) -> Pack:
+        """A pack on a ready filesystem, which tasks get a copy of."""
+        base = refs.default_base(folder) if ref_base is None else ref_base
+        return cls(spark, carry(fs, folder.rstrip("/")), ref_base=base, **how)
+
+    def assignments(self, workers: int) -> DataFrame:
+        """(worker, position, shard, ordinal, key, size) of all members: which of so many workers scan() gives each to."""
+        position, total = F.col("position"), self.index().count()
+        return self.scan(payload=False).select(F.floor(((position + 1) * workers - 1) / max(1, total)).cast("long").alias("worker"), "*")
+
     def _reader(self, name: str, shards, **options):
         reader = self.spark.read.format(name).option("pattern", self.pattern)
         if shards is not None:

@@ -10,13 +10,13 @@ import shutil
 import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import payload as payloads
 from ..functions import refs
 from ..operators import convert, integrity, measure
-from ..operators.packs import Pack, read_spans, write_pack
+from ..operators.packs import Pack, read_spans, write_pack, write_planned
 from ..sources.formats import register
 from .layout import Limits, plan
 
@@ -37,11 +37,13 @@ def _query(name: str, sql: str | None = None):
 
 
 def _workspace(spark: SparkSession) -> str:
-    """A new folder, in the cluster's shared one where that is a file system's."""
+    """A new folder in the cluster's shared one; only where all runs on one machine, a temporary folder does too."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or ""
     local = shared.removeprefix("file://") if shared.startswith(("/", "file://")) else None
     if local:
         os.makedirs(local, exist_ok=True)
+    elif not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("packs of these queries need spark.checkpoint.dir in a folder that all machines share")
     return tempfile.mkdtemp(prefix="packlake-", dir=local)
 
 
@@ -285,17 +287,6 @@ def _(spark, sf_dir):
     return _built(spark, sf_dir)[0].index().agg(F.count("*").alias("n"))
 
 
-_MANY = [(i * 37) % 200 for i in range(300)]
-
-
-@_query("read_many_order", f"SELECT n::BIGINT AS n, sha256(text) AS sha256 FROM (SELECT unnest({_MANY}) AS doc_id, unnest(generate_series(0, 299)) AS n) JOIN documents USING (doc_id)")
-def _(spark, sf_dir):
-    pack, planned = _built(spark, sf_dir)
-    asked = spark.createDataFrame(list(enumerate(_MANY)), "n long, doc_id long").join(planned.select(F.col("ord").alias("doc_id"), "ref", "key"), "doc_id")
-    items = asked.select("n", F.when(F.col("n") % 2 == 0, F.col("ref")).otherwise(F.col("key")).alias("item"))
-    return pack.resolve(items, "item").orderBy("n").select("n", F.sha2("payload", 256).alias("sha256"))
-
-
 def _range(name: str, start: str, length: str, sql: str):
     @_query(name, f"WITH b AS (SELECT doc_id, strlen(text) AS n, hex(encode(text)) AS h FROM documents) SELECT doc_id, {sql} AS bytes FROM b")
     def _(spark, sf_dir):
@@ -318,29 +309,11 @@ def _(spark, sf_dir):
 # ordered scans
 
 
-def _split(name: str, workers: int | None):
-    w = workers or "(t.n + 5)"
-
-    sql = f"""{_fold(_DOC, MAX)}, t AS (SELECT count(*) AS n FROM p)
-        SELECT (CASE WHEN k.w IS NULL THEN -1 ELSE k.w END)::BIGINT AS worker, key, (rn - 1)::BIGINT AS position FROM p, t,
-        (SELECT unnest([0, 1, 2]) AS w) k WHERE rn - 1 >= k.w * t.n // {w} AND rn - 1 < (k.w + 1) * t.n // {w}"""
-
-    @_query(name, sql)
-    def _(spark, sf_dir):
-        pack, _ = _built(spark, sf_dir)
-        n = workers or pack.index().count() + 5
-        parts = [pack.scan(worker=i, workers=n, payload=False).select(F.lit(i).cast("long").alias("worker"), "key", "position") for i in range(3)]
-        return parts[0].union(parts[1]).union(parts[2])
-
-
-_split("iter_split_w3", 3)
-_split("iter_split_w_gt_t", None)
-
-
-@_query("iter_shuffled", f"SELECT count(*)::BIGINT AS n, count(DISTINCT {_DOC_KEY})::BIGINT AS n_keys, sum(strlen(text))::BIGINT AS bytes FROM documents")
+@_query("iter_shuffled", f"{_fold(_DOC, MAX)} SELECT key, name AS shard, (row_number() OVER (PARTITION BY name ORDER BY rn) - 1)::BIGINT AS place, sha256(text) AS sha256 FROM p JOIN documents USING (doc_id)")
 def _(spark, sf_dir):
-    found = _built(spark, sf_dir)[0].scan(shuffle=True, seed=7)
-    return found.agg(F.count("*").alias("n"), F.countDistinct("position").alias("n_keys"), F.sum(F.octet_length("payload").cast("long")).alias("bytes"))
+    found = _built(spark, sf_dir)[0].scan(shuffle=True, seed=7)  # shards in any order, each one's members in their own
+    first = F.min("position").over(Window.partitionBy("shard"))
+    return found.select("key", "shard", (F.col("position") - first).alias("place"), F.sha2("payload", 256).alias("sha256"))
 
 
 @_query("scan_until", f"{_fold(_DOC, MAX)}, c AS (SELECT *, sum(size) OVER (ORDER BY rn) - size AS before FROM p) SELECT (rn - 1)::BIGINT AS position, key, size FROM c WHERE before < 300000")
@@ -348,40 +321,41 @@ def _(spark, sf_dir):
     return _built(spark, sf_dir)[0].scan_until(300_000).select("position", "key", F.octet_length("payload").cast("long").alias("size"))
 
 
-@_query("sql_functions", f"{_fold(_DOC, MAX)} SELECT doc_id, p.key, p.name AS shard, substr(hex(encode(text)), 5, 16) AS bytes FROM p JOIN documents USING (doc_id) WHERE doc_id < 50")
+@_query("sql_functions", f"{_fold(_DOC, MAX)} SELECT doc_id, p.key, p.name AS shard, substr(hex(encode(text)), 5, 16) AS bytes FROM p JOIN documents USING (doc_id)")
 def _(spark, sf_dir):
     from ..functions import sql
 
     pack, planned = _built(spark, sf_dir)
     sql.register_refs(spark)
     sql.register_reader(spark, pack.folder)
-    planned.where("ord < 50").select(F.col("ord").alias("doc_id"), "ref").createOrReplaceTempView("packlake_refs")
+    planned.select(F.col("ord").alias("doc_id"), "ref").createOrReplaceTempView("packlake_refs")
     return spark.sql("SELECT doc_id, ref_key(ref) AS key, ref_shard(ref) AS shard, hex(x.payload) AS bytes FROM packlake_refs, LATERAL read_range(ref, 2, 8) AS x")
 
 
-# the same over whole tables: all references, every document asked for, every worker
+@_query("read_many_order", "SELECT doc_id * 2 + k AS n, sha256(text) AS sha256 FROM documents, (SELECT unnest([0, 1]) AS k)")
+def _(spark, sf_dir):
+    pack, planned = _built(spark, sf_dir)
+    asked = planned.select((F.col("ord") * 2).alias("n"), F.col("ref").alias("item")).union(planned.select(F.col("ord") * 2 + 1, "key"))
+    return pack.resolve(asked, "item").orderBy("n").select("n", F.sha2("payload", 256).alias("sha256"))
 
 
-@_query("sql_functions_all", f"{_fold(_DOC, MAX)} SELECT doc_id, p.key, p.name AS shard, substr(hex(encode(text)), 5, 16) AS bytes FROM p JOIN documents USING (doc_id)")
-def _(spark, sf_dir):
-    from ..functions import sql
+def _split(name: str, workers: int | None):
+    w = workers or "(t.n + 5)"
+    sql = f"""{_fold(_DOC, MAX)}, t AS (SELECT count(*) AS n FROM p), k AS (SELECT unnest(generate_series(0, {w} - 1)) AS w FROM t)
+        SELECT k.w::BIGINT AS worker, key, (rn - 1)::BIGINT AS position FROM p, t, k WHERE rn - 1 >= k.w * t.n // {w} AND rn - 1 < (k.w + 1) * t.n // {w}"""
 
-    pack, planned = _built(spark, sf_dir)
-    sql.register_refs(spark)
-    sql.register_reader(spark, pack.folder)
-    planned.select(F.col("ord").alias("doc_id"), "ref").createOrReplaceTempView("packlake_refs_all")
-    return spark.sql("SELECT doc_id, ref_key(ref) AS key, ref_shard(ref) AS shard, hex(x.payload) AS bytes FROM packlake_refs_all, LATERAL read_range(ref, 2, 8) AS x")
+    @_query(name, sql)
+    def _(spark, sf_dir):
+        pack, _ = _built(spark, sf_dir)
+        return pack.assignments(workers or pack.index().count() + 5).select("worker", "key", "position")
 
 
-@_query("read_many_all", "SELECT doc_id * 2 + k AS n, sha256(text) AS sha256 FROM documents, (SELECT unnest([0, 1]) AS k)")
-def _(spark, sf_dir):
-    pack, planned = _built(spark, sf_dir)
-    asked = planned.select((F.col("ord") * 2).alias("n"), F.col("ref").alias("item")).union(planned.select(F.col("ord") * 2 + 1, "key"))
-    return pack.resolve(asked, "item").orderBy("n").select("n", F.sha2("payload", 256).alias("sha256"))
+_split("iter_split_w3", 3)
+_split("iter_split_w_gt_t", None)
 
 
 @_query(
-    "iter_split_all",
+    "iter_split_scans",
     f"""{_fold(_DOC, MAX)}, t AS (SELECT count(*) AS n FROM p)
         SELECT k.w::BIGINT AS worker, key, (rn - 1)::BIGINT AS position FROM p, t, (SELECT unnest(generate_series(0, 6)) AS w) k
         WHERE rn - 1 >= k.w * t.n // 7 AND rn - 1 < (k.w + 1) * t.n // 7""",
@@ -428,9 +402,13 @@ def _(spark, sf_dir):
     return integrity.verify(spark, folder)[0].select("shard", "kind")
 
 
-@_query("dup_keys", "SELECT text AS key, count(*)::BIGINT AS n FROM documents GROUP BY text HAVING count(*) > 1")
+@_query("dup_keys", "SELECT 'k/' || doc_id % m AS key, count(*)::BIGINT AS n FROM documents, (SELECT max(doc_id) // 2 + 1 AS m FROM documents) GROUP BY ALL HAVING count(*) > 1")
 def _(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").groupBy(F.col("text").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    docs, folder = _docs(spark, sf_dir), os.path.join(_workspace(spark), "twice")
+    half = docs.agg(F.max("ord")).first()[0] // 2 + 1  # two shards, each with its own keys, many of them in both
+    again = docs.withColumn("key", F.concat(F.lit("k/"), (F.col("ord") % half).cast("string")))
+    write_planned(again, [0, half], folder)
+    return Pack(spark, folder).duplicate_keys()
 
 
 # what payloads are, and moving columns
@@ -548,12 +526,52 @@ def _(spark, sf_dir):
     return read_spans(index).select("key", F.sha2("payload", 256).alias("sha256"))
 
 
-@_query("unpack_files", "SELECT count(*)::BIGINT AS n, sum(strlen(text))::BIGINT AS bytes FROM documents")
+@_query("unpack_files", f"SELECT {_DOC_KEY} AS key, sha256(text) AS sha256 FROM documents")
 def _(spark, sf_dir):
     out = os.path.join(_workspace(spark), "files")
     convert.unpack(_built(spark, sf_dir)[0], out)
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(out)
-    return found.agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    return _loose(spark, out)
+
+
+def _loose(spark: SparkSession, folder: str) -> DataFrame:
+    """What reading files one by one gives."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return found.select(F.substring_index("path", f"{os.path.basename(folder)}/", -1).alias("key"), F.sha2("content", 256).alias("sha256"))
+
+
+@_query("loose_reads", _FILES)
+def _(spark, sf_dir):
+    return _loose(spark, _tree(spark, sf_dir, False))
+
+
+_PROBES = "SELECT doc_id, sha256(text) AS sha256 FROM documents ORDER BY sha256(doc_id || ':7'), doc_id LIMIT 400"
+
+
+def _probes(df: DataFrame) -> DataFrame:
+    """400 seeded random places, the same for every way of reading them."""
+    return df.orderBy(F.sha2(F.concat("doc_id", F.lit(":7")), 256), "doc_id").limit(400)
+
+
+@_query("random_reads", _PROBES)
+def _(spark, sf_dir):
+    pack, planned = _built(spark, sf_dir)
+    asked = _probes(planned.select(F.col("ord").alias("doc_id"), "ref"))
+    return pack.resolve(asked, "ref").select("doc_id", F.sha2("payload", 256).alias("sha256"))
+
+
+@_query("embedded_random_reads", _PROBES)
+def _(spark, sf_dir):
+    path = os.path.join(_workspace(spark), "embedded")
+    _docs(spark, sf_dir).write.parquet(path)
+    table = spark.read.parquet(path).withColumnRenamed("ord", "doc_id")
+    return table.join(_probes(table.select("doc_id")), "doc_id", "left_semi").select("doc_id", F.sha2("payload", 256).alias("sha256"))
+
+
+@_query("embedded_scan", f"SELECT {_DOC_KEY} AS key, sha256(text) AS sha256 FROM documents")
+def _(spark, sf_dir):
+    path = os.path.join(_workspace(spark), "embedded")
+    _docs(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path).select("key", F.sha2("payload", 256).alias("sha256"))
 
 
 @_query("stream_arrivals", f"{_fold(_DOC, MAX)} SELECT name AS shard, count(*)::BIGINT AS blobs FROM p GROUP BY name")

@@ -15,7 +15,9 @@ from __future__ import annotations
 import io
 import json
 import os
+import shutil
 import tarfile
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -205,24 +207,30 @@ class _PackWriter(DataSourceArrowWriter):
     """
 
     def __init__(self, options):
-        if is_remote(options["path"]):
-            raise PackError("shards are written to a folder that all executors share as a file system")
-        self.folder = filesystem(options["path"])[1]
+        self.path = options["path"]
+        self.remote = is_remote(self.path)
+        fs, self.folder = filesystem(self.path)
         self.prefix = options.get("prefix", "pack")
         if not self.prefix or os.path.basename(self.prefix) != self.prefix:
             raise ValueError(f"the prefix must be a plain file name: {self.prefix!r}")
-        os.makedirs(self.folder, exist_ok=True)
-        if list_files(self.folder):
+        fs.create_dir(self.folder, recursive=True)
+        if list_files(self.path):
             raise PackError(f"{self.folder} already holds shards; packs don't change")
 
     def write(self, iterator):
         done, writer, current = [], None, None
         mark = uuid.uuid4().hex
+        here = tempfile.mkdtemp(prefix="packlake-") if self.remote else self.folder  # a store takes whole files only
 
         def finish():
             if writer:
                 writer.close()
-                done.append((writer.path, f"{self.prefix}-{current:04d}.zip", writer.blobs, writer.bytes))
+                hidden = os.path.join(self.folder, os.path.basename(writer.path))
+                if self.remote:
+                    with open(writer.path, "rb") as f, filesystem(self.path)[0].open_output_stream(hidden) as to:
+                        shutil.copyfileobj(f, to, 8 << 20)
+                    os.remove(writer.path)
+                done.append((hidden, f"{self.prefix}-{current:04d}.zip", writer.blobs, writer.bytes))
 
         try:
             for batch in iterator:
@@ -233,7 +241,7 @@ class _PackWriter(DataSourceArrowWriter):
                     if shard != current:
                         finish()
                         current = shard
-                        writer = ShardWriter(os.path.join(self.folder, f".{mark}-{shard}.part"))
+                        writer = ShardWriter(os.path.join(here, f".{mark}-{shard}.part"))
                     data = column["payload"][i].as_py() if "payload" in column else None
                     if data is not None:
                         writer.add(key, io.BytesIO(data), len(data))
@@ -248,21 +256,29 @@ class _PackWriter(DataSourceArrowWriter):
                                 writer.add(key, whole.get_stream(start, size), size)
             finish()
         except BaseException:
-            for path in [p for p, *_ in done] + ([writer.path] if writer else []):
-                if os.path.exists(path):
-                    os.remove(path)
+            if writer and os.path.exists(writer.path):
+                os.remove(writer.path)
+            self._delete(done)
             raise
+        finally:
+            if self.remote:
+                shutil.rmtree(here, ignore_errors=True)
         return Written(done)
 
+    def _delete(self, files) -> None:
+        fs = filesystem(self.path)[0]
+        for path, *_ in files:
+            if fs.get_file_info(path).is_file:
+                fs.delete_file(path)
+
     def commit(self, messages):
+        fs = filesystem(self.path)[0]
         for path, name, *_ in sorted((f for m in messages if m for f in m.files), key=lambda f: (len(f[1]), f[1])):
-            os.rename(path, os.path.join(self.folder, name))
+            fs.move(path, os.path.join(self.folder, name))
 
     def abort(self, messages):
         for m in messages:
-            for path, *_ in m.files if m else ():
-                if os.path.exists(path):
-                    os.remove(path)
+            self._delete(m.files if m else ())
 
 
 class PackIndex(DataSource):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import base64
 import fnmatch
 import os
+import pickle
 import posixpath
 import re
 from collections import OrderedDict
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import urlencode
 
 from ..errors import CorruptPack, PackError
 
@@ -22,10 +25,36 @@ def is_remote(path: str) -> bool:
     return bool(m) and m[1] != "file"
 
 
+CARRIED = "carried://"
+
+
+def carry(fs, path: str) -> str:
+    """A path that takes a ready filesystem (pyarrow's, or one that follows fsspec) along to all tasks."""
+    import pyarrow.fs as pafs
+
+    if not isinstance(fs, pafs.FileSystem):
+        fs = pafs.PyFileSystem(pafs.FSSpecHandler(fs))
+    return f"{CARRIED}{base64.urlsafe_b64encode(pickle.dumps(fs)).decode()}:{path}"
+
+
+def with_options(path: str, options: dict[str, str] | None) -> str:
+    """The path with options of its store (region, endpoint_override, access_key and the like, as its URI takes them)."""
+    import pyarrow.fs as pafs
+
+    if not options:
+        return path
+    if not is_remote(path):
+        raise ValueError("only remote stores have options")
+    return carry(*pafs.FileSystem.from_uri(f"{path}{'&' if '?' in path else '?'}{urlencode(options)}"))
+
+
 def filesystem(path: str):
     """A pyarrow filesystem and the path on it."""
     import pyarrow.fs as pafs
 
+    if path.startswith(CARRIED):
+        token, _, at = path.removeprefix(CARRIED).partition(":")
+        return pickle.loads(base64.urlsafe_b64decode(token)), at
     if is_remote(path):
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), os.path.abspath(re.sub(r"^file:/+", "/", path))
@@ -37,7 +66,7 @@ def list_files(folder: str, pattern: str = "*.zip") -> list[tuple[str, str]]:
 
     fs, root = filesystem(folder)
     found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-    scheme = folder.split("://")[0] + "://" if is_remote(folder) else ""
+    scheme = folder[: len(folder) - len(root)] if folder.startswith(CARRIED) else folder.split("://")[0] + "://" if is_remote(folder) else ""
     names = sorted(f.base_name for f in found if f.type == pafs.FileType.File and fnmatch.fnmatchcase(f.base_name, pattern))
     return [(n, scheme + posixpath.join(root, n)) for n in names]
 

@@ -18,4 +18,4 @@ def test_query_equals_sql(spark, name):
 
 def test_whole_tables_are_read(spark):
     n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
-    assert [catalog.QUERIES[q](spark, SMALL).count() for q in ("sql_functions_all", "read_many_all", "iter_split_all")] == [n, 2 * n, n]
+    assert [catalog.QUERIES[q](spark, SMALL).count() for q in ("sql_functions", "read_many_order", "iter_split_w3")] == [n, 2 * n, n]

@@ -365,3 +365,51 @@ def test_scan_until_and_spans(pack, spark, tmp_path):
             t.add(tmp_path / name, "./" + name)
     index = spark.read.format("tar_index").load(str(tmp_path))
     assert {r.key: bytes(r.payload) for r in read_spans(index).collect()} == {"x": b"x" * 700, "y": b"y" * 700}
+
+
+def test_remote_stores(spark, tmp_path):
+    from pyarrow import fs as pafs
+
+    from packlake.sources.ranges import carry, with_options
+
+    store = pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem())
+    df = spark.createDataFrame([(i, f"k{i:03d}", bytes([i]) * 90) for i in range(40)], "ord int, key string, payload binary")
+    planned = write_pack(df, carry(store, "there/media"), ref_base="media", limits=Limits(1_000))
+    assert len(os.listdir(tmp_path / "there" / "media")) > 2 and all(n.startswith("pack-") for n in os.listdir(tmp_path / "there" / "media"))
+    p = Pack.from_fs(spark, store, "there/media")
+    got = {r.key: bytes(r.payload) for r in p.resolve(planned.select("key", "ref"), "ref").collect()}
+    assert got == {f"k{i:03d}": bytes([i]) * 90 for i in range(40)} and p.read("k007") == b"\x07" * 90
+    with pytest.raises(ValueError):
+        with_options("/a", {"region": "x"})
+
+
+def test_null_references_stay_where_they_are(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", b"A"), (2, "b", b"B")], "ord int, key string, payload binary")
+    p = (write_pack(df, str(tmp_path / "p")), Pack(spark, str(tmp_path / "p")))[1]
+    asked = spark.createDataFrame([(None,)] * 50 + [("a",), ("b",), ("a",)], "r string")
+    got = p.resolve(asked, "r", mode="lenient").collect()
+    assert sorted((r.r or "", r.payload and bytes(r.payload)) for r in got if r.r) == [("a", b"A"), ("a", b"A"), ("b", b"B")]
+    assert sum(r.r is None and r.payload is None and r.payload_error is None for r in got) == 50
+
+
+def test_arrivals_in_any_order():
+    from packlake.streaming.arrivals import offset_of, seen
+
+    came = []
+    for name in ("pack-0000.zip", "pack-0002.zip", "zz.zip", "pack-0001.zip", "pack-9999.zip", "pack-10000.zip", "a-0000.zip", "pack-00003.zip"):
+        before = offset_of(came)
+        assert not seen(before, name) and all(seen(before, n) for n in came)
+        came.append(name)
+    assert offset_of(came) == {"below": {"pack": 3, "a": 1}, "others": ["pack-00003.zip", "pack-10000.zip", "pack-9999.zip", "zz.zip"]}
+
+
+def test_sweeps_are_bounded(tmp_path, monkeypatch):
+    from packlake.sources import ranges
+
+    (tmp_path / "x").write_bytes(bytes(range(256)) * 400)
+    monkeypatch.setattr(ranges, "MOST", 3_000)
+    source, lengths = ranges.Ranges(str(tmp_path / "x")), []
+    read = source.read
+    source.read = lambda o, n: lengths.append(n) or read(o, n)
+    asked = [(o, 30) for o in range(0, 100_000, 500)]
+    assert source.read_many(asked[::-1]) == [read(o, n) for o, n in asked[::-1]] and max(lengths) <= 3_000
