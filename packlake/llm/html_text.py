@@ -1,15 +1,16 @@
 """Main text of web pages from text-to-tag ratios.
 
 The standard library's parser streams events; they are gathered into lines, one for each block of text, with the tags
-met in it and the containers that it stands in. Lines inside menus, forms, scripts and the like are set aside by tag,
-role, or class and id names. The text-to-tag ratio of the others is smoothed with a Gaussian over neighbouring lines
-and split into two clusters by a threshold half-way between their means. The lines of the upper cluster say where the
-article is: the article or main element that holds most of them, or else the smallest container that holds nearly all,
-from its first to its last such line. All lines there that are not lists of links make up the text.
+met in it and the container that it stands in. A line's ratio is its characters for each tag, less where elements or
+names hint at menus, notices, comments and the like, more inside an article element. Ratios are smoothed with a Gaussian
+over neighbouring lines and split into two clusters by a threshold half-way between their means. The upper cluster says
+where the content is: its region is the smallest container that holds nearly all of its text, or the article around
+that. Of the region the upper lines stay, and the lower ones between and beside them that no hint speaks against.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from html.parser import HTMLParser
@@ -22,17 +23,18 @@ from pyspark.sql import types as T
 from . import common
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements without article text.
+#: Elements whose content is no text of the page.
 DROPPED = frozenset(
-    "head title script style noscript template nav aside footer form button select textarea fieldset menu dialog iframe "
-    "object svg canvas audio video map datalist".split()
+    "head title script style noscript template button select textarea dialog iframe object svg canvas audio video map datalist".split()
 )
+#: Elements that mostly hold something else than the article; a header does where it stands outside of one.
+ASIDE = frozenset("nav aside footer form fieldset menu".split())
 #: Elements that stay inside a line of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math nobr output q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr img picture input".split()
 )
-#: Names in class, id or role of blocks that are not the article.
+#: Names in class, id or role of blocks that mostly are not the article.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion sidebar aside nav "
     "navbar navigation menu menubar breadcrumb breadcrumbs footer complementary contentinfo masthead topbar comment comments "
@@ -52,14 +54,32 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SIGMA = 1.0
-#: Share of the upper cluster's text that a container must hold where there is no article element.
+#: What elements and names that hint at something else than the article, or at it, multiply a line's ratio by.
+AGAINST, FOR = 0.1, 2.0
+#: Share of the upper cluster's text that the region must hold.
 NEARLY_ALL = 0.8
 
 
+class Container:
+    """An open or closed element. Numbers follow page order, so what is inside has the numbers from n to end."""
+
+    __slots__ = ("doubtful", "dropped", "end", "furniture", "n", "semantic", "tag", "within")
+
+    def __init__(self, n: int, tag: str, above: Container | None, semantic: bool = False, dropped: bool = False, doubtful: bool = False):
+        self.n, self.tag, self.semantic, self.end = n, tag, semantic, None
+        self.dropped = dropped or (above is not None and above.dropped)
+        #: By an element or name here or above, unless an article stands in between.
+        self.doubtful = doubtful or (above is not None and above.doubtful and not semantic)
+        #: By an element, that is, not by a name alone.
+        self.furniture = tag in ASIDE or (above is not None and above.furniture and not semantic)
+        #: Whether it is, or stands in, an article or main element that isn't doubtful itself.
+        self.within = (semantic and not doubtful) or (above is not None and above.within and not doubtful)
+
+
 class Line:
     __slots__ = ("inside", "linked", "tags", "text")
 
-    def __init__(self, inside: tuple):
+    def __init__(self, inside: Container):
         self.text: list[str] = []
         self.tags = 0
         self.linked = 0
@@ -67,24 +87,33 @@ class Line:
 
 
 class _Events(HTMLParser):
-    """Lines of a page. A container is (number, tag, semantic, dropped by its tag, dropped by its names)."""
+    """Lines of a page, each with its text, the tags met in it and the container that it stands in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        self.every = [Container(0, "", None)]
+        self.open: list[Container] = self.every[:]
+        self.places: dict[str, list[int]] = {}  # of each tag, where it is in `open`
         self.lines: list[Line] = []
-        self.open: list[tuple] = []
-        self.n = 0
         self.links = 0
-        self.line = Line(())
+        self.line = Line(self.open[0])
 
     def _break(self) -> None:
+        tags = 0 if self.line.text else self.line.tags
         if self.line.text:
             self.lines.append(self.line)
-            self.line = Line(tuple(self.open))
-        else:
-            tags = self.line.tags
-            self.line = Line(tuple(self.open))
-            self.line.tags = tags
+        self.line = Line(self.open[-1])
+        self.line.tags = tags
+
+    def _close(self, at: int) -> None:
+        """Close all that is open from a place on."""
+        for c in self.open[at:]:
+            self.places[c.tag].pop()
+            c.end = len(self.every) - 1
+        del self.open[at:]
+
+    def _place(self, tags) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
 
     def handle_starttag(self, tag, attrs):
         self.line.tags += 1
@@ -96,14 +125,12 @@ class _Events(HTMLParser):
             self._break()
             return
         if tag in ENDS:
-            own, limit = ENDS[tag]
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][1] in limit:
-                    break
-                if self.open[i][1] in own:
-                    del self.open[i:]
+            own, limit = map(self._place, ENDS[tag])
+            if own > limit:
+                self._close(own)
         self.links = 0
         if tag not in PARAGRAPHS:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(self._container(tag, attrs))
         self._break()
 
@@ -119,13 +146,16 @@ class _Events(HTMLParser):
                 hidden = True
             elif k == "itemprop" and v and v.lower() == "articlebody":
                 role = "main"
+        above = self.open[-1]
         semantic = tag in ("article", "main") or role in ("main", "article")
-        within = any(c[2] and not c[4] for c in self.open)
-        by_tag = hidden or tag in DROPPED or (tag == "header" and not within)
-        by_name = bool(words & EVEN_ARTICLES) if semantic else tag not in ("html", "body") and bool(words & NAMES)
-        by_name = by_name or (not within and not semantic and "header" in words and tag not in ("html", "body"))
-        self.n += 1
-        return (self.n, tag, semantic, by_tag, by_name)
+        if semantic:
+            doubtful = bool(words & EVEN_ARTICLES)
+        else:
+            doubtful = tag in ASIDE or (tag not in ("html", "body") and bool(words & NAMES))
+            doubtful = doubtful or (not above.within and (tag == "header" or "header" in words) and tag not in ("html", "body"))
+        made = Container(len(self.every), tag, above, semantic, hidden or tag in DROPPED, doubtful)
+        self.every.append(made)
+        return made
 
     def handle_endtag(self, tag):
         self.line.tags += 1
@@ -133,11 +163,8 @@ class _Events(HTMLParser):
             self.links = 0
         if tag in INLINE:
             return
-        if tag not in VOID and tag not in PARAGRAPHS:
-            for i in range(len(self.open) - 1, -1, -1):
-                if self.open[i][1] == tag:
-                    del self.open[i:]
-                    break
+        if self.places.get(tag):
+            self._close(self.places[tag][-1])
         self._break()
 
     def handle_data(self, data):
@@ -148,16 +175,21 @@ class _Events(HTMLParser):
         elif self.line.text:
             self.line.text.append(" ")
 
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i, report)
+
     def unknown_decl(self, data):
         pass
 
 
-def lines_of(html: str) -> list[Line]:
+def lines_of(html: str) -> tuple[list[Line], list[Container]]:
     events = _Events()
     events.feed(html)
     events.close()
     events._break()
-    return events.lines
+    events._close(1)
+    events.every[0].end = len(events.every) - 1
+    return events.lines, events.every
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -186,71 +218,67 @@ def threshold(values: list[float]) -> float:
     return at
 
 
-def _usable(line: Line, names: bool) -> bool:
-    """Not in a dropped element. Names don't count for what an article inside them holds."""
-    dropped = False
-    for _, _, semantic, by_tag, by_name in line.inside:
-        if by_tag:
-            return False
-        if by_name:
-            dropped = True
-        elif semantic:
-            dropped = False
-    return not (names and dropped)
+def upper_cluster(lines: list[Line], sizes: list[int]) -> list[bool]:
+    """Which lines belong to the upper cluster of smoothed ratios. Hints weigh in before the smoothing; a doubtful line is
+    not lifted by its neighbours, and a line that is mostly links is never in it."""
+    ratios = [n / max(1, x.tags) * (AGAINST if x.inside.doubtful else FOR if x.inside.within else 1) for x, n in zip(lines, sizes, strict=True)]
+    values = [min(own, s) if x.inside.doubtful else s for x, own, s in zip(lines, ratios, smoothed(ratios), strict=True)]
+    at = threshold(values)
+    return [v >= at and 2 * x.linked <= n for v, x, n in zip(values, lines, sizes, strict=True)]
+
+
+def region_of(lines: list[Line], sizes: list[int], upper: list[bool], every: list[Container]) -> Container:
+    """The smallest container that holds nearly all text of the upper cluster, or the article or main element around it."""
+    mass = [0] * len(every)
+    for x, n, up in zip(lines, sizes, upper, strict=True):
+        mass[x.inside.n] += n * up
+    total = sum(mass)
+    passed = [0, *itertools.accumulate(mass)]
+    mass = [passed[c.end + 1] - passed[c.n] for c in every]
+    best = max((c for c in every if mass[c.n] >= NEARLY_ALL * total), key=lambda c: c.n)
+    around = [c for c in every if c.semantic and not c.doubtful and c.n <= best.n <= c.end]
+    return max(around, key=lambda c: (c.tag == "article", c.n), default=best)
 
 
 def main_text(html: str | None) -> str:
     """The main text of a page; empty if there is none."""
     if not html:
         return ""
-    every = lines_of(html)
-    lines = [x for x in every if _usable(x, True)] or [x for x in every if _usable(x, False)]
-    if not lines:
+    every_line, every = lines_of(html)
+    lines = [x for x in every_line if not x.inside.dropped]
+    if all(x.inside.furniture for x in lines):
         return ""
     texts = [" ".join("".join(x.text).split()) for x in lines]
     sizes = [len(t) for t in texts]
-    ratios = smoothed([n / max(1, x.tags) for n, x in zip(sizes, lines, strict=True)])
-    at = threshold(ratios)
-    upper = [r >= at and 2 * x.linked <= n for r, x, n in zip(ratios, lines, sizes, strict=True)]
+    upper = upper_cluster(lines, sizes)
     if not any(upper):
         upper = [True] * len(lines)
-    mass: dict[tuple, int] = {}
-    for x, n, up in zip(lines, sizes, upper, strict=True):
-        for c in x.inside:
-            mass[c] = mass.get(c, 0) + n * up
-    total = sum(n for n, up in zip(sizes, upper, strict=True) if up)
-    semantic = [c for c in mass if c[2] and mass[c]]
-    if semantic:
-        best = max(semantic, key=lambda c: (mass[c], c[0]))
-        inner = [c for c in semantic if c[0] > best[0] and c[1] == "article" and 2 * mass[c] >= mass[best]]
-        best = max(inner, key=lambda c: mass[c], default=best) if best[1] != "article" else best
-        chosen = [i for i, x in enumerate(lines) if best in x.inside]
-    else:
-        holding = [c for c in mass if mass[c] >= NEARLY_ALL * total]
-        chosen = list(range(len(lines)))
-        if holding:
-            best = max(holding, key=lambda c: c[0])
-            chosen = [i for i in chosen if best in lines[i].inside]
-        good = [i for i in chosen if upper[i]]
-        first, last = good[0], good[-1]
-        if holding and best[1] not in ("html", "body"):  # a container of the article's own: all of it
-            first, last = chosen[0], chosen[-1]
-        near = lambda i, j: i in kept and lines[i].inside[-1:] == lines[j].inside[-1:] and not lines[i].linked
-        kept = set(chosen)
-        while near(first - 1, first):
-            first -= 1
-        while near(last + 1, last):
-            last += 1
-        chosen = [i for i in chosen if first <= i <= last and (upper[i] or 2 * lines[i].linked <= sizes[i])]
-    return " ".join(t for t in (texts[i] for i in chosen) if t)
+    best = region_of(lines, sizes, upper, every)
+    inside = [i for i, x in enumerate(lines) if best.n <= x.inside.n <= best.end]
+    good = [i for i in inside if upper[i]]
+    first, last = good[0], good[-1]
+    if best.semantic:  # all of an article but what is doubtful
+        return " ".join(texts[i] for i in inside if texts[i] and (upper[i] or not lines[i].inside.doubtful))
+    plain = {i for i in inside if not lines[i].inside.doubtful}
+    if best.tag not in ("", "html", "body"):  # a container of the article's own
+        first, last = inside[0], inside[-1]
+    near = lambda i, j: i in plain and lines[i].inside is lines[j].inside and not lines[i].linked
+    while near(first - 1, first):
+        first -= 1
+    while near(last + 1, last):
+        last += 1
+    stay = [i for i in inside if first <= i <= last and (upper[i] or (i in plain and 2 * lines[i].linked <= sizes[i]))]
+    return " ".join(texts[i] for i in stay if texts[i])
 
 
 def extract(df: DataFrame, html: str = "html", out: str = "main_text") -> DataFrame:
     """`df` with a string column `out`: the main text of the whole page.
 
     A null or empty page, or one without text, has an empty text. Pages are parsed as far as they go: unclosed and stray
-    tags are as usual, truncated ones lose nothing before the cut. Repeated rows stay; an empty table gives an empty
-    table; a column already named `out` is an error. Nothing is shuffled.
+    tags, odd declarations and endless nesting raise nothing; truncated pages lose nothing before the cut. Very long
+    pages are read whole, in time about proportional to their length. Of regions that hold equally much the inner one
+    counts. Repeated rows stay; an empty table gives an empty table; a column already named `out` is an error. Nothing
+    is shuffled.
     """
     if out.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the table already has a column {out}")

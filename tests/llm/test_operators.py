@@ -493,6 +493,60 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+PROSE = "This is a paragraph of prose that goes on for quite a while, and then for some more words of its own. "
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class=legal-notes><p>{PROSE * 6}</p></div><p>tiny</p>", (PROSE * 6).strip()),  # a name alone does not decide
+        (f"<div><a href=x>One</a> <a href=y>Two</a></div><div><span>Menu</span></div><div><p>{PROSE}</p><p>{PROSE}</p><p>Short one.</p><p>{PROSE}</p></div><div>Imprint</div>",
+         f"{PROSE}{PROSE}Short one. {PROSE}".strip()),
+        (f"<table><tr><td>Home<td>News</table><p>{PROSE}</p><p>So.</p><p>{PROSE}</p><div><b>a</b><i>b</i><b>c</b></div>", f"{PROSE}So. {PROSE}".strip()),
+        ("<p>one</p><![foo[bar]]><p>two words</p><![CDATA[x]]>", "one two words"),
+        (f"<article><p>{PROSE}</p><aside><p>{PROSE}</p></aside><p>End.</p></article>", f"{PROSE}End."),
+        (f"<form action=x><article><p>{PROSE}</p></article></form>", PROSE.strip()),
+    ],
+)
+def test_regions_by_ratio(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_threshold_and_smoothing_decide(monkeypatch):
+    """Without either of them other text comes out, also beside an article element."""
+    pages = [
+        "<div><b>Home</b> page</div>" * 12 + f"<div><p>{PROSE}</p><p>{PROSE}</p></div>",
+        f"<div class=ad>{PROSE}</div><article><p>Short.</p><p>{PROSE}</p></article><footer><p>{PROSE * 3}</p></footer>",
+    ]
+    want = [html_text.main_text(p) for p in pages]
+    assert want == [f"{PROSE}{PROSE}".strip(), f"Short. {PROSE}".strip()]
+    for always in (-1.0, 1e9):
+        with monkeypatch.context() as m:
+            m.setattr(html_text, "threshold", lambda _, at=always: at)
+            assert html_text.main_text(pages[0]) != want[0] and html_text.main_text(pages[1]) != want[1]
+    page = f"<p>{PROSE}</p><p>Yes.</p><p>{PROSE}</p>" + "<p>No.</p>" * 9  # a short line between long ones is lifted
+    assert html_text.upper_cluster(*lines_and_sizes(page))[:3] == [True, True, True]
+    monkeypatch.setattr(html_text, "smoothed", lambda values: values)
+    assert html_text.upper_cluster(*lines_and_sizes(page))[:3] == [True, False, True]
+
+
+def lines_and_sizes(page):
+    lines, _ = html_text.lines_of(page)
+    return lines, [len("".join(x.text)) for x in lines]
+
+
+def test_nested_pages_take_linear_time():
+    import time
+
+    def seconds(n):
+        begin = time.process_time()
+        assert html_text.main_text("<div>" * n + "<p>text</section></li></td>" * n).startswith("text text")
+        return time.process_time() - begin
+
+    seconds(1_000)
+    assert seconds(60_000) < 12 * max(0.05, seconds(10_000))
+
+
 def test_pages_with_odd_rows(odd, empty):
     got = html_text.extract(odd, "text").collect()
     assert len(got) == len(ODD) and all(r.main_text == " ".join((r.text or "").split()) for r in got)
