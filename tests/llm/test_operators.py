@@ -95,6 +95,40 @@ def test_license_labels(spark):
     assert got[4].labels == got[5].labels == "" and got[4].score == 0
 
 
+def covered(words, template):
+    """The best share of a notice's pairs that stand near their places, by trying every start that one of them gives."""
+    t = template.words.split()
+    pairs = list(zip(t, t[1:], strict=False))
+    reach = licenses.reach_of(len(pairs))
+    mine = list(zip(words, words[1:], strict=False))
+    starts = {j - i for j, q in enumerate(mine) for i, p in enumerate(pairs) if p == q}
+    return max((sum(p in mine[max(0, s + i - reach) : max(0, s + i + reach + 1)] for i, p in enumerate(pairs)) / len(pairs) for s in starts), default=0)
+
+
+def test_notices_against_brute_force(spark):
+    """Repeated words don't count twice, and what stands beside a notice takes nothing from it."""
+    rng = random.Random(3)
+    mit, bsd = (next(t for t in licenses.NOTICES if t.label == k).words.split() for k in ("mit-text", "bsd-text"))
+    texts = [["of", "the", "software"] * 20, mit + ["of", "the", "software"] * 40, ["of", "the", "software"] * 40 + mit, mit + bsd + mit, bsd * 5]
+    for _ in range(40):
+        words = list(rng.choice([mit, bsd, mit + bsd]))
+        for _ in range(rng.randint(1, 14)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 3)] = rng.choices(["of", "the", "software", "x", "and"], k=rng.randint(0, 4))
+        texts.append(words)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(frame, licenses.NOTICES).collect()}
+    for i, words in enumerate(texts):
+        want = {t.label: covered(words, t) for t in licenses.NOTICES}
+        want = {k: c for k, c in want.items() if c >= licenses.COVERAGE}
+        assert got[i].labels == ",".join(sorted(want)) and got[i].score == pytest.approx(max(want.values(), default=0)), i
+        assert all(0 <= s["first"] < s["end"] <= len(words) for s in got[i].spans)
+    assert got[0].labels == "" and got[0].score == 0 and "mit-text" in got[1].labels and got[1].score == 1
+    assert sum(s["label"] == "mit-text" for s in got[3].spans) == 2
+    with pytest.raises(ValueError):
+        licenses.scan(frame.withColumnRenamed("doc_id", "Score"), id="Score")
+
+
 def test_licenses_of_odd_rows(odd, empty):
     got = licenses.scan(odd).collect()
     assert sorted((r.doc_id or 0, r.n_words) for r in got) == sorted([(1, 5), (1, 5), (2, 0), (3, 0), (0, 5), (0, 0), (4, 20_001), (5, 0), (6, 3)])
