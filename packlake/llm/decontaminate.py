@@ -4,24 +4,26 @@ Texts become sequences of words in which numbers, units and capitalised words (n
 are replaced by placeholders of their kind; a second form keeps words in lower case and replaces numbers and units only.
 Windows of WINDOW such words are hashed, those of the benchmark are joined by hash to those of the documents, and hits
 are gathered by document, item and offset. On each offset the placeholders' values must agree: one value of the item
-stands for one value of the document throughout. So a question counts as found when its words, or its words but for
-consistently other names and numbers, are in the text.
+stands for one value of the document throughout, and the other way round. Offsets near each other are taken together, so
+that a word more or less doesn't part an item; hits strewn over a long text are not. So a question counts as found when
+its words, or its words but for consistently other names and numbers, stand together in the text.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .common import MARKS, SOLID
 
 WINDOW = 6
-#: Words below which an item can't be told from chance inside a text and is looked for as a whole line; items shorter than
+#: Words below which an item can't be told from chance inside a text and is looked for as a whole line or sentence; items shorter than
 #: WINDOW use all their words.
 LEAST_WORDS = 5
 #: Words of a window that must not be placeholders.
@@ -31,8 +33,11 @@ LITERALS = 3
 SHARE, LEAST_FOUND, RUN = 0.4, 9, 13
 #: Share of the placeholder values on an offset that must agree.
 AGREE = 0.8
-#: Windows of the benchmark up to which their hashes are sent to all tasks as a filter before the join.
-MOST_FILTERED = 4_000_000
+#: Offsets this near to each other are taken together.
+REACH = 12
+#: Bits of a window's hash by which tasks tell what may be in the benchmark before the join, and of a first, small table.
+#: The tables have this size whatever the benchmark's.
+BITS, FIRST_BITS = 27, 22
 CACHE = 400_000
 PORTION = 1_000_000
 
@@ -40,6 +45,8 @@ TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+(?:[.,:/]\d+)*")
 #: Of texts in scripts without spaces each character of these is a word.
 UNSPACED = re.compile(f"[{SOLID}]")
 MIXED = re.compile(rf"(?=[{SOLID}])[^\W\d_][{MARKS}]*|(?:(?![{SOLID}])[^\W\d_])+(?:['’](?:(?![{SOLID}])[^\W\d_])+)*|\d+(?:[.,:/]\d+)*")
+#: What stands between lines or sentences.
+SENTENCES = re.compile(r"(?<=[.?!;:])\s+|[\r\n]+|(?<=[。？！；])")
 #: Forms of windows beside those with placeholders: words and numbers as they are; a whole line of few words.
 LITERAL, LINE = 2, 3
 #: Words that stand for numbers and units of measure.
@@ -142,12 +149,12 @@ class Windows:
 
 
 def _lines(texts: list[str]):
-    """(LINE, size, starts, hashes, owner) of the lines of fewer than LEAST_WORDS words; every start is 0."""
+    """(LINE, size, starts, hashes, owner) of the lines and sentences of fewer than LEAST_WORDS words; every start is 0."""
     from xxhash import xxh64_intdigest
 
     found: dict[int, list[tuple[int, int]]] = {}
     for i, text in enumerate(texts):
-        for line in text.splitlines():
+        for line in SENTENCES.split(text):
             tokens = tokens_of(line)
             if 0 < len(tokens) < LEAST_WORDS:
                 found.setdefault(len(tokens), []).append((i, xxh64_intdigest("\0".join(tokens).lower(), 3)))
@@ -155,15 +162,33 @@ def _lines(texts: list[str]):
         yield LINE, size, np.zeros(len(rows), np.int64), np.array([h for _, h in rows], np.uint64), np.array([i for i, _ in rows], np.int64)
 
 
-def _hits(sizes: list[int], wanted: np.ndarray | None, literal: list[int] = [], lines: bool = False):  # noqa: B006
-    """For rows (id, unit, text): (id, unit, form, size, pos, hash, slots) of the windows with a wanted hash, or of all."""
+def _packed_bits(batches):
+    """For rows (hash): the bits of BITS that they set, compressed, in one row for each partition."""
+    bits = np.zeros(1 << BITS - 3, np.uint8)
+    for batch in batches:
+        at = batch.column("hash").to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+
+def _filter_of(hashes: DataFrame) -> bytes:
+    """The bits that the hashes (column hash) set, compressed. They come to the driver one partition at a time."""
+    bits = np.zeros(1 << BITS - 3, np.uint8)
+    for row in hashes.coalesce(16).mapInArrow(_packed_bits, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(zlib.decompress(row.bits), np.uint8)
+    return zlib.compress(bits.tobytes(), 1)
+
+
+def _hits(sizes: list[int], wanted=None, literal: list[int] = [], lines: bool = False):  # noqa: B006
+    """For rows (id, unit, text): (id, unit, form, size, pos, hash, slots) of the windows whose hash may be wanted (by a
+    broadcast filter), or of all."""
 
     def run(batches):
         windows = Windows(sizes, literal)
-        table = None
+        table = bits = None
         if wanted is not None:
-            table = np.zeros(1 << 22, bool)
-            table[(wanted >> np.uint64(42)).astype(np.int64)] = True
+            bits = np.frombuffer(zlib.decompress(wanted.value), np.uint8)
+            table = np.bitwise_or.reduce(bits.reshape(1 << FIRST_BITS, -1), axis=1) != 0
         for batch in batches:
             rows = max(1, batch.num_rows * common.SLICE // max(common.SLICE, batch.nbytes))
             for begin in range(0, batch.num_rows, rows):
@@ -171,16 +196,16 @@ def _hits(sizes: list[int], wanted: np.ndarray | None, literal: list[int] = [],
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 at = 0
                 for portion in common.portions(texts, PORTION):
-                    yield from found(part.slice(at, len(portion)), portion, windows, table)
+                    yield from found(part.slice(at, len(portion)), portion, windows, table, bits)
                     at += len(portion)
 
-    def found(part, texts, windows, table):
+    def found(part, texts, windows, table, bits):
         for form, size, starts, hashes, *rest in (*windows.of(texts), *(_lines(texts) if lines else ())):
             if table is not None:
-                near = np.flatnonzero(table[(hashes >> np.uint64(42)).astype(np.int64)])
+                near = np.flatnonzero(table[(hashes >> np.uint64(64 - FIRST_BITS)).astype(np.int64)])
                 if len(near):
-                    place = np.minimum(np.searchsorted(wanted, hashes[near]), len(wanted) - 1)
-                    near = near[wanted[place] == hashes[near]]
+                    place = hashes[near] >> np.uint64(64 - BITS)
+                    near = near[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
             else:
                 near = np.arange(len(starts))
             starts, hashes = starts[near], hashes[near]
@@ -221,11 +246,13 @@ def _prepared(df: DataFrame, id: str, text: str) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, unit, item, coverage, run, agreement, verbatim) for every document and item found in it.
 
-    unit is a hash of the text, so that rows of equal ids and different texts stay apart; rows of equal id and text are
-    one. Items of equal texts are looked for once, under the smallest id. coverage is the share of the item's windows
-    found on offsets whose placeholders agree, run the most words of the item in a row, agreement the least agreement of
-    placeholder values there, verbatim whether all values are the same. Items whose windows are nearly all placeholders
-    match with all their words and values in a row only, items of fewer than LEAST_WORDS words as a whole line only. Null
+    Ids are whole numbers. unit is a hash of the text, so that rows of equal ids and different texts stay apart; rows of
+    equal id and text are one. Items of equal texts are looked for once, under the smallest id. coverage is the share of
+    the item's windows found near one place of the text on offsets whose placeholders agree, run the most words of the
+    item that stand there in a row, agreement the least agreement of placeholder values there, verbatim whether all values
+    are the same; of equally good places the one that agrees best counts. Very long texts are read whole, in portions. Items whose windows are nearly all placeholders
+    match with all their words and values in a row only, items of fewer than LEAST_WORDS words as a whole line or
+    sentence only. Null
     and empty texts match nothing; null ids of items are left out, null ids of documents stay.
     """
     spark = docs.sparkSession
@@ -249,11 +276,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     longest = theirs.groupBy(F.col("id").alias("item")).agg(F.max("size").alias("size"))
     theirs = theirs.withColumnsRenamed({"id": "item", "pos": "item_pos", "slots": "item_slots"}).drop("unit").join(longest, ["item", "size"])
     total = theirs.groupBy("item").agg(F.countDistinct("item_pos").alias("windows"))
-    wanted = None
-    if theirs.count() <= MOST_FILTERED:
-        wanted = np.unique(np.array([r[0] for r in theirs.select("hash").distinct().collect()], np.int64).view(np.uint64))
-        if not len(wanted):
-            return spark.createDataFrame([], "id long, unit long, item long, coverage double, run long, agreement double, verbatim boolean")
+    wanted = spark.sparkContext.broadcast(_filter_of(theirs.select("hash")))
     ours = _prepared(docs, id, text).mapInArrow(_hits(sizes, wanted, sorted({n for f, n in kinds if f == LITERAL}), any(f == LINE for f, _ in kinds)), SCHEMA)
     both = ours.join(theirs, ["hash", "form", "size"])
     pairs = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("own"))
@@ -261,31 +284,42 @@ def matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str
     offsets = both.groupBy(*by).agg(
         F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
     )
-    values = F.size(F.array_distinct(F.col("pairs.item")))
-    offsets = offsets.select(
-        "id", "unit", "item", "form", "size", "places",
-        F.when(F.size("pairs") == 0, 1.0).otherwise(values / F.size("pairs")).alias("agreement"),
-        F.forall("pairs", lambda p: p["item"] == p["own"]).alias("verbatim"),
-        (F.size("places") + F.col("size") - 1).cast("long").alias("run"),
-    ).where(F.col("agreement") >= AGREE)
-    offsets = offsets.join(total, "item").where((F.col("form") < LITERAL) | (F.size("places") == F.col("windows")))
-    found = offsets.groupBy("id", "unit", "item").agg(
-        F.max("windows").alias("windows"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"),
-        F.max("run").alias("run"),
-        F.min("agreement").alias("agreement"),
-        F.every("verbatim").alias("verbatim"),
-    )
-    found = found.withColumn("coverage", F.least(F.lit(1.0), F.col("found") / F.col("windows")))
+    values = F.least(F.size(F.array_distinct("pairs.item")), F.size(F.array_distinct("pairs.own")))
+    offsets = offsets.withColumn("agreement", F.when(F.size("pairs") == 0, 1.0).otherwise(values / F.size("pairs"))).where(F.col("agreement") >= AGREE)
+    offsets = offsets.withColumn("verbatim", F.forall("pairs", lambda p: p["item"] == p["own"])).withColumn("run", longest_run(F.col("places")) + F.col("size") - 1)
+    near = Window.partitionBy("id", "unit", "item").orderBy("offset").rangeBetween(-REACH, REACH)
+    offsets = offsets.join(total, "item").select(
+        "id", "unit", "item", "windows", "run",
+        F.size(F.array_distinct(F.flatten(F.collect_list("places").over(near)))).alias("found"),
+        F.min("agreement").over(near).alias("agreement"),
+        F.min("verbatim").over(near).alias("verbatim"),
+        (F.col("form") < LITERAL).alias("usual"),
+    ).where("usual or found = windows")
+    best = F.max(F.struct("found", "agreement", "verbatim")).alias("best")
+    found = offsets.groupBy("id", "unit", "item").agg(F.max("windows").alias("windows"), F.max("run").alias("run"), best)
+    found = found.select("id", "unit", "item", "windows", "run", "best.*").withColumn("coverage", F.col("found") / F.col("windows"))
     enough = (F.col("coverage") >= SHARE) & ((F.col("found") + WINDOW - 1 >= LEAST_FOUND) | (F.col("coverage") == 1))
     return found.where(enough | (F.col("run") >= RUN)).select("id", "unit", "item", "coverage", "run", "agreement", "verbatim")
 
 
+def longest_run(places: Column) -> Column:
+    """The most numbers of an array of distinct ones that follow each other without a gap."""
+
+    def step(seen, x):
+        now = F.when(x == seen["last"] + 1, seen["now"] + 1).otherwise(F.lit(1).cast("long"))
+        return F.struct(x.alias("last"), now.alias("now"), F.greatest(seen["most"], now).alias("most"))
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(F.array_sort(places), F.struct(F.lit(-9).cast("long").alias("last"), zero.alias("now"), zero.alias("most")), step)["most"]
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, in which no item was found; order and repeated rows aside, as they are."""
-    hit = matches(docs, benchmark, id, text).select(F.col("id").alias("__id"), F.col("unit").alias("__unit")).distinct()
+    """The rows of `docs`, with all their columns, in which no item was found. Repeated rows all stay or all go, so do rows
+    without an id by their texts; null and empty texts stay; an empty table, or an empty benchmark, changes nothing."""
+    own, of = common.unique_name(docs.columns, "__id"), common.unique_name(docs.columns, "__unit")
+    hit = matches(docs, benchmark, id, text).select(F.col("id").alias(own), F.col("unit").alias(of)).distinct()
     unit = F.xxhash64(F.coalesce(common.quoted(text).cast("string"), F.lit("")))
-    same = common.quoted(id).cast("long").eqNullSafe(F.col("__id")) & (unit == F.col("__unit"))
+    same = common.quoted(id).cast("long").eqNullSafe(F.col(own)) & (unit == F.col(of))
     return docs.join(hit, same, "left_anti")
 
 

@@ -416,6 +416,44 @@ def test_items_without_spaces_or_of_numbers_are_found(spark):
     assert sorted((r.id, r.item) for r in found) == [(1, 1), (2, 2), (3, 3), (4, 4)]
 
 
+def test_every_item_is_found_changed_too(spark):
+    """Each benchmark item inside other prose: as it is, with other names and numbers, with a word more, one less."""
+    items = [(r.item_id, r.text) for r in common.table(spark, "/root/testdata/sf0.01", "benchmark").collect()]
+    rng = random.Random(1)
+    filler = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(n))
+    texts, want = [], set()
+    for i, text in items:
+        words, names = text.split(), {}
+        other = [names.setdefault(w, str(rng.randint(10, 9_999)) if w.isdigit() else "Z" + filler(1)) if w.isdigit() or (k and w[0].isupper() and w.isalpha()) else w for k, w in enumerate(words)]
+        at = rng.randrange(1, len(words))
+        for changed in (words, other, [*words[:at], "quite", *words[at:]], words[:at] + words[at + 1 :]):
+            want.add((len(texts), i))
+            texts.append((len(texts), f"{filler(40)}\n{' '.join(changed)} {filler(30)}"))
+    clean = range(len(texts), len(texts) + 50)
+    texts += [(k, filler(200) + " the number of the people who are in the " + filler(50)) for k in clean]
+    found = decontaminate.matches(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.id, r.item) for r in found}
+    assert want <= got and not {d for d, _ in got} & set(clean)
+
+
+def test_runs_are_runs(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(31)]
+    changed = words[:]
+    for at in (9, 18, 27):
+        changed[at] = "other"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " x y z u v ".join(" ".join(words[i : i + 6]) for i in range(0, 30, 6)))], "doc_id long, text string")
+    got = {r.id: r for r in decontaminate.matches(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
+    assert got[1].run == 31 and got[1].coverage == 1 and got[1].verbatim
+    assert 2 not in got or (got[2].run == 9 and got[2].coverage < 0.7)
+    assert 3 not in got  # pieces far apart are no item
+
+
+def test_short_items_stand_alone(spark):
+    docs = spark.createDataFrame([(1, "So it goes. Who wrote Hamlet? Nobody knows."), (2, "those who wrote hamlet and others")], "doc_id long, text string")
+    found = decontaminate.matches(docs, spark.createDataFrame([(5, "Who wrote Hamlet?"), (6, "12 + 45 = 57 and 57 - 3 = 54 , 54 / 2 = 27")], "item_id long, text string"))
+    assert [(r.id, r.item) for r in found.collect()] == [(1, 5)]
+
+
 def test_decontamination_of_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, "a b c d e"), (None, "x"), (2, "")], "item_id long, text string")
     got = decontaminate.clean(odd, items)
