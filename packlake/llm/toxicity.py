@@ -1,23 +1,24 @@
 """Toxicity by the nearest labelled examples.
 
-Up to `per_class` labelled rows of each class become examples. Words and beginnings of words that mark one class among
-them make up the vocabulary; all other words of a text together count as one more term, so that a stray hit in a long
-text weighs little. Texts are compared with examples by the cosine of TF-IDF vectors. The index is inverted and in
-blocks: for each term and block of examples the largest weight is kept, which bounds the cosine of every example there;
-blocks are scored in the order of their bounds until no bound exceeds the k-th best cosine, so the k nearest are exact.
-They vote with weights that grow as the distance shrinks; votes are calibrated by a logistic curve fitted to the
-examples themselves, each scored without itself.
-
-The index has a bounded size whatever the number of rows (see PER_CLASS and TERMS), so it is broadcast; documents are
-read once, nothing of them is shuffled.
+Up to `per_class` labelled rows of each class become examples. Their terms, all words and beginnings of words, make up the
+vocabulary; none is left out. A term weighs (1 + ln count) * idf * rf ** 2 in a text, where idf = 1 + ln(n / df), and rf, the
+relevance frequency of supervised term weighting, is log2(2 + its share of the toxic examples over that of the others).
+Texts are compared with examples by the cosine of these vectors.
+
+The index is inverted and in blocks of examples. The lists of rare terms are short and are added up. For each frequent
+term and block the largest weight is kept, so the sum over a text's frequent terms bounds what they can add to any
+example of the block; blocks whose bound can't reach the k-th best sum so far are passed over. So the k nearest are exact.
+They vote with weights that grow as the distance shrinks. Votes are calibrated by a logistic curve fitted crosswise: each
+example's vote comes from a model that has seen neither it nor the others of its fold, terms and weights included.
+
+The index has a bounded size whatever the number of rows (see PER_CLASS and SAMPLE_BYTES), so it is broadcast; documents
+are read once, nothing of them is shuffled.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +29,23 @@ from pyspark.sql import types as T
 from . import common
 from .common import MARKS, SOLID
 
-#: Bound of the sample that examples are drawn from: rows of each class, those of the smallest hashes of their ids.
-PER_CLASS = 1_500
-#: Bound of the vocabulary, and the least z-score of a term's shares among toxic and other examples.
-TERMS, LEAST_Z = 1_000, 3.0
-#: Characters of the beginnings of words that are terms too, and the most characters of a word that are kept as they are.
-BEGINNINGS, LONGEST = (3, 4, 5, 6), 40
+#: Bound of the sample that examples are drawn from: rows of each class, those of the smallest hashes of their ids; and
+#: bytes of their texts, beyond which later ones are left out as a whole.
+PER_CLASS, SAMPLE_BYTES = 1_500, 32 << 20
+#: Characters of the beginnings of words that are terms too.
+BEGINNINGS = (3, 4, 5, 6)
 #: Characters taken together as a word in scripts without spaces.
 GRAMS = (1, 2, 3)
-#: Weight of the term that stands for all other words.
-REST = 2.0
 NEAREST = 15
 BLOCK = 64
-INNER = np.arange(BLOCK)
+#: A term of more than one in so many examples is frequent.
+FREQUENT = 12
+#: Folds of examples for the calibration.
+FOLDS = 5
 #: Examples named as evidence.
 EVIDENCE = 3
-#: Bound of the distinct words of one example, the most frequent ones: what of a very long example comes to the driver.
-MOST_WORDS = 5_000
 THRESHOLD = 0.7
-#: Terms of distinct words that a worker remembers.
+#: Distinct words that a worker remembers.
 CACHE = 200_000
 
 #: All ASCII characters but letters stand between words.
@@ -86,144 +85,162 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def count_words(text: str) -> Counter:
-    """The words of a text, each very long one as its beginning and a hash of it all."""
-    counts = Counter(words_of(text))
-    for w in [w for w in counts if len(w) > LONGEST]:
-        counts[w[:LONGEST] + blake2b(w.encode(), digest_size=8).hexdigest()] += counts.pop(w)
-    return counts
+class _Hashes(dict):
+    """The hashes of a word's terms; zero where it has fewer."""
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        found = [xxh64_intdigest(t) or 1 for t in terms_of(word)]
+        self.rows.append(found + [0] * (1 + len(BEGINNINGS) - len(found)))
+        self[word] = len(self.rows) - 1
+        return self[word]
+
+    def __init__(self):
+        self.rows: list[list[int]] = []
+        self.table = np.zeros((0, 1 + len(BEGINNINGS)), np.uint64)
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """A row of hashes for each word."""
+        if len(self.rows) > CACHE:
+            self.clear()
+            self.rows, self.table = [], self.table[:0]
+        number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if len(self.table) < len(self.rows):
+            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.uint64)])
+        return self.table[number]
+
+
+def count_terms(text: str, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct terms of a whole text, sorted, and how often each occurs."""
+    every = hashes.of(words_of(text)).ravel()
+    return np.unique(every[every != 0], return_counts=True)
+
+
+class Model:
+    """Weights of terms, and the inverted index of some examples."""
+
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray):
+        """terms and counts: of each example, as count_terms gives them."""
+        n, positive = len(terms), float(toxic.sum())
+        self.n, self.toxic = n, toxic.astype(np.float64)
+        owner = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in terms])
+        self.terms, number = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]), return_inverse=True)
+        df = np.bincount(number, minlength=len(self.terms))
+        marked = np.bincount(number, self.toxic[owner], len(self.terms))
+        other = np.maximum(1, df - marked) / max(1.0, n - positive)
+        self.weight = (1 + np.log(n / np.maximum(1, df))) * np.log2(2 + marked / max(1.0, positive) / other) ** 2
+        often = df * FREQUENT > n
+        self.n_often = int(often.sum())
+        self.place = np.empty(len(df), np.int32)  # frequent terms first
+        self.place[np.argsort(~often, kind="stable")] = np.arange(len(df))
+        value = (1 + np.log(np.concatenate([np.zeros(0), *counts]))) * self.weight[number]
+        value /= np.sqrt(np.bincount(owner, value * value, n))[owner]
+        # examples alike stand together, so that bounds of blocks are tight
+        heavy = np.zeros(n, np.int64)
+        heavy[owner[np.argsort(value, kind="stable")]] = number[np.argsort(value, kind="stable")]
+        self.order = np.lexsort((np.arange(n), heavy, self.toxic))
+        self.toxic = self.toxic[self.order]
+        where = np.empty(n, np.int32)
+        where[self.order] = np.arange(n)
+        owner, place = where[owner], self.place[number]
+        blocks = max(1, -(-n // BLOCK))
+        some = place < self.n_often
+        self.often = np.zeros((self.n_often, blocks * BLOCK), np.float32)
+        self.often[place[some], owner[some]] = value[some]
+        self.bound = self.often.reshape(self.n_often, blocks, BLOCK).max(2)
+        by = np.lexsort((owner[~some], place[~some]))
+        self.holder, self.value = owner[~some][by], value[~some][by].astype(np.float32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(place[~some] - self.n_often, minlength=len(df) - self.n_often))])
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of the known terms of a text, of length one; empty for a text without any."""
+        if not len(self.terms) or not len(terms):
+            return np.zeros(0, np.int32), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        known = self.terms[at] == terms
+        at = at[known]
+        w = (1 + np.log(counts[known])) * self.weight[at]
+        return self.place[at], w / math.sqrt(float(w @ w)) if len(w) else w
+
+    def nearest(self, place: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the NEAREST examples, best first, of equal ones (to six digits) the first."""
+        if not len(place):
+            return np.zeros(0, np.int64), np.zeros(0)
+        some = place < self.n_often
+        at = place[~some] - self.n_often
+        first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        every = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        sums = np.zeros(self.often.shape[1]) + np.bincount(self.holder[every], self.value[every] * np.repeat(w[~some], size), self.often.shape[1])
+        at, w = place[some], w[some].astype(np.float32)
+        live = slice(None)
+        if len(at):
+            k = min(NEAREST, self.n)
+            worst = np.partition(sums[: self.n], self.n - k)[self.n - k]
+            reach = sums.reshape(-1, BLOCK).max(1) + w @ self.bound[at]
+            blocks = np.flatnonzero(reach >= worst - 1e-5)
+            if 2 * len(blocks) > self.bound.shape[1]:
+                sums += w @ self.often[at]
+            else:
+                live = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                sums[live] += w @ self.often[at[:, None], live]
+        number = np.arange(len(sums))[live]
+        number = number[number < self.n]
+        cosine = np.minimum(1.0, sums[number])
+        if len(number) > 4 * NEAREST:
+            top = cosine >= np.partition(cosine, len(cosine) - NEAREST)[len(cosine) - NEAREST] - 2e-6
+            number, cosine = number[top], cosine[top]
+        best = np.lexsort((number, -np.round(cosine, 6)))[:NEAREST]
+        return number[best], cosine[best]
 
 
 class Index:
     """The nearest examples of texts, and calibrated votes."""
 
-    def __init__(self, counted: list[dict[str, int]], toxic: list[int], ids: list[int], share: float | None = None):
-        """counted: the words of each example. share: of toxic rows among all labelled ones, where the examples don't
-        have that share."""
-        order = sorted(range(len(counted)), key=lambda i: (toxic[i], ids[i]))
-        self.ids = np.array([ids[i] for i in order], np.int64)
-        self.toxic = np.array([toxic[i] for i in order], np.float64)
-        n, positive = len(order), int(sum(toxic))
-        counts = [Counter(counted[i]) for i in order]
-        self.terms: dict[str, int] = {}
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], toxic: list[int], ids: list[int], share: float | None = None):
+        """terms and counts: of each example, as count_terms gives them. share: of toxic rows among all labelled ones,
+        where the examples don't have that share."""
+        n, positive = len(ids), int(sum(toxic))
         self.share = share if share is not None else positive / max(1, n)
         self.usable = 0 < positive < n
-        own = positive / n if n else 0.0
+        self.curve = (0.0, 1.0)
+        self._hashes = None
+        if not self.usable:
+            return
         #: Weight of a vote for each class, so that classes count by their shares among all labelled rows.
-        self.weight = (self.share / own, (1 - self.share) / (1 - own)) if self.usable else (1.0, 1.0)
-        self._choose(counts, positive, n - positive)
-        self._cache: dict[str, tuple[int, ...]] = {}
-        v = len(self.terms) + 1
-        blocks = max(1, -(-n // BLOCK))
-        self.postings = np.zeros((blocks, v, BLOCK), np.float32)
-        self.last = blocks - 1
-        self.curve = (0.0, 0.0)
-        vectors = [self._vector(self._numbered(c), sum(c.values())) for c in counts]
-        # examples alike stand together, so that bounds of blocks are tight
-        lead = sorted(range(n), key=lambda i: (self.toxic[i], vectors[i][0][np.argmax(vectors[i][1])] if len(vectors[i][0]) else -1, i))
-        self.ids, self.toxic, vectors = self.ids[lead], self.toxic[lead], [vectors[i] for i in lead]
-        for i, (at, w) in enumerate(vectors):
-            self.postings[i // BLOCK, at, i % BLOCK] = w
-        self.bound = np.ascontiguousarray(self.postings.max(2).T)  # by term and block
-        if self.usable:
-            raw = [self._vote(*self._nearest(at, w, skip=i)) for i, (at, w) in enumerate(vectors)]
-            self._fit(np.array(raw))
-
-    def _choose(self, counts: list[Counter], positive: int, negative: int) -> None:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for c, label in zip(counts, self.toxic, strict=True):
-            seen[int(label)].update({t for w in c for t in terms_of(w)})
-        scored = []
-        for term in seen[1].keys() | seen[0].keys() if self.usable else ():
-            a, b = seen[1][term], seen[0][term]
-            p = (a + b) / (positive + negative)
-            if a + b >= 4 and p < 1:
-                z = (a / positive - b / negative) / math.sqrt(p * (1 - p) * (1 / positive + 1 / negative))
-                if z > LEAST_Z:
-                    scored.append((-z, term, p))
-        scored = sorted(scored)[:TERMS]
-        self.terms = {term: i for i, (_, term, _) in enumerate(scored)}
-        self.idf = np.array([1 - math.log(p) for *_, p in scored] + [1.0])
-
-    def _numbers(self, word: str) -> tuple[int, ...]:
-        return tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-
-    def _numbered(self, words: dict[str, int]) -> Counter:
-        """The terms of a text's words, with their counts."""
-        out: Counter = Counter()
-        cache = self._cache
-        for w, n in words.items():
-            got = cache.get(w)
-            if got is None:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                got = cache[w] = self._numbers(w)
-            for t in got:
-                out[t] += n
-        return out
-
-    def _vector(self, found: Counter, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights, of length one; empty for a text without words."""
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.array([*found, len(self.terms)], np.int64)
-        w = np.array([*(1 + math.log(n) for n in found.values()), REST * math.log1p(words)]) * self.idf[at]
-        return at, w / math.sqrt(float(w @ w))
-
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        words = count_words(text)
-        return self._vector(self._numbered(words), words.total())
-
-    def _nearest(self, at: np.ndarray, w: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the NEAREST examples, best first. No example left out has a greater cosine; of equal
-        ones those stay whose block has the greater bound, or comes first."""
-        n = len(self.ids)
-        if not len(at) or not n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.bound[at]
-        order = np.argsort(-bound, kind="stable")
-        held, cosines = [], []
-        done, worst, found, take = 0, -1.0, 0, 4
-        while done < len(order):
-            part = order[done : done + take]
-            part = part[bound[part] > worst]
-            if not len(part):
-                break
-            number = (part[:, None] * BLOCK + INNER).ravel()
-            got = np.einsum("t,btk->bk", w, self.postings[part[:, None], at]).ravel()
-            if skip >= 0 or part.max() == self.last:
-                real = (number < n) & (number != skip)
-                number, got = number[real], got[real]
-            held.append(number)
-            cosines.append(got)
-            found += len(number)
-            done += take
-            take *= 4
-            if found >= NEAREST:
-                every = np.concatenate(cosines)
-                worst = np.partition(every, found - NEAREST)[found - NEAREST] + 1e-7
-        number, cosine = np.concatenate(held), np.concatenate(cosines)
-        if len(cosine) > 4 * NEAREST:
-            top = np.flatnonzero(cosine > worst - 2e-6)
-            number, cosine = number[top], cosine[top]
-        best = np.lexsort((number, -np.round(cosine, 6)))[:NEAREST]
-        return number[best], np.minimum(1.0, cosine[best])
-
-    def _vote(self, number: np.ndarray, cosine: np.ndarray) -> float:
+        self.weight = (self.share * n / positive, (1 - self.share) * n / (n - positive))
+        by = sorted(range(n), key=lambda i: (toxic[i], ids[i]))
+        terms, counts = [terms[i] for i in by], [counts[i] for i in by]
+        label, fold = np.array([toxic[i] for i in by]), np.arange(n) % FOLDS
+        raw = np.full(n, self.share)
+        for f in range(FOLDS if n > 2 * FOLDS else 0):
+            rest = np.flatnonzero(fold != f)
+            if 0 < label[rest].sum() < len(rest):
+                model = Model([terms[i] for i in rest], [counts[i] for i in rest], label[rest])
+                for i in np.flatnonzero(fold == f):
+                    raw[i] = self._vote(model, *model.nearest(*model.vector(terms[i], counts[i])))
+        self._fit(raw, label)
+        self.model = Model(terms, counts, label)
+        self.ids = np.array([ids[i] for i in by], np.int64)[self.model.order]
+
+    def __getstate__(self):
+        return self.__dict__ | {"_hashes": None}
+
+    def _vote(self, model: Model, number: np.ndarray, cosine: np.ndarray) -> float:
         if not len(number):
             return self.share
-        y = self.toxic[number]
+        y = model.toxic[number]
         weight = np.where(y == 1, self.weight[0], self.weight[1]) / (1.02 - cosine)
         return float((weight * y).sum() / weight.sum())
 
-    def _fit(self, raw: np.ndarray) -> None:
+    def _fit(self, raw: np.ndarray, label: np.ndarray) -> None:
         """Newton's steps for a logistic curve over the log-odds of votes, classes weighted by their shares."""
         x = np.stack([np.ones(len(raw)), self._odds(raw)], 1)
-        weight = np.where(self.toxic == 1, self.weight[0], self.weight[1])
+        weight = np.where(label == 1, self.weight[0], self.weight[1])
         beta = np.array([0.0, 1.0])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            gradient = x.T @ (weight * (self.toxic - p)) - 1e-3 * beta
+            gradient = x.T @ (weight * (label - p)) - 1e-3 * beta
             hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
             step = np.linalg.solve(hessian, gradient)
             beta = beta + np.clip(step, -1, 1)
@@ -236,44 +253,59 @@ class Index:
         p = np.clip(raw, 0.005, 0.995)
         return np.log(p / (1 - p))
 
+    def nearest(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        self._hashes = self._hashes or _Hashes()
+        return self.model.nearest(*self.model.vector(*count_terms(text, self._hashes)))
+
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
         """Score from 0 to 1, and the ids and cosines of the nearest examples."""
         if not self.usable:
             return self.share, [], []
-        number, cosine = self._nearest(*self.vector(text))
+        number, cosine = self.nearest(text)
         a, b = self.curve
-        vote = min(0.995, max(0.005, self._vote(number, cosine)))
-        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log(vote / (1 - vote))))))
+        odds = float(self._odds(self._vote(self.model, number, cosine)))
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * odds))))
         return p, self.ids[number[:EVIDENCE]].tolist(), cosine[:EVIDENCE].tolist()
 
 
-def examples(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS):
-    """Words, labels and ids of the examples, and the share of toxic rows among all rows to learn from.
+def examples(
+    docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, most_bytes: int = SAMPLE_BYTES
+):
+    """Terms, counts, labels and ids of the examples, and the share of toxic rows among all rows to learn from.
 
-    Rows of the fold held out are left out, as are null labels and ids; of several labels of one id the largest counts,
-    of several texts the smallest.
+    Ids are whole numbers. Rows of the fold held out are left out, as are null labels and ids, and labels but 0 and 1; of
+    several labels of one id the largest counts, of several texts the smallest. Null and empty texts have no terms. Texts
+    are taken whole or not at all: in the order of the hashes of their ids, as long as a class has no more than per_class
+    of them and all of them together most_bytes.
     """
     known = labels.where(~held_out(common.quoted(id)) & common.quoted(id).isNotNull() & common.quoted(label).isNotNull())
-    known = known.groupBy(common.quoted(id).alias("id")).agg(F.max(common.quoted(label)).cast("int").alias("label"))
-    known = known.where("label in (0, 1)").join(docs.select(common.quoted(id).alias("id")).distinct(), "id", "left_semi")
+    known = known.groupBy(common.quoted(id).alias("id")).agg(F.max(common.quoted(label)).cast("int").alias("label")).where("label in (0, 1)")
+    sizes = docs.groupBy(common.quoted(id).cast("long").alias("id")).agg(F.max(F.coalesce(F.octet_length(common.quoted(text).cast("string")), F.lit(0))).alias("size"))
+    known = known.join(sizes, "id")
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     first = [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
-    chosen = first[0].union(first[1]).collect()  # at most 2 * per_class pairs of numbers
+    chosen, used = [], 0
+    for r in sorted(first[0].union(first[1]).withColumn("turn", F.xxhash64("id")).collect(), key=lambda r: (r.turn, r.id)):  # at most 2 * per_class rows of numbers
+        if used + r["size"] <= most_bytes:
+            chosen.append((r.id, r.label))
+            used += r["size"]
     if not chosen:
-        return [], [], [], 0.0
-    ids = docs.sparkSession.createDataFrame([(r.id, r.label) for r in chosen], "id long, label int")
-    mine = docs.select(common.quoted(id).alias("id"), F.coalesce(common.quoted(text).cast("string"), F.lit("")).alias("text"))
+        return [], [], [], [], 0.0
+    ids = docs.sparkSession.createDataFrame(chosen, "id long, label int")
+    mine = docs.select(common.quoted(id).cast("long").alias("id"), F.coalesce(common.quoted(text).cast("string"), F.lit("")).alias("text"))
     found = mine.join(F.broadcast(ids), "id").select("id", "label", "text")
 
-    def counted(batches):  # a text comes to the driver as the distinct words that it holds, with their counts
+    def counted(batches):  # a text comes to the driver as the hashes and counts of its terms
+        hashes = _Hashes()
         for batch in batches:
-            words = [count_words(t).most_common(MOST_WORDS) for t in batch.column("text").to_pylist()]
-            kind = pa.map_(pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(words, kind)], names=["id", "label", "words"])
+            got = [count_terms(t, hashes) for t in batch.column("text").to_pylist()]
+            packed = [pa.array([c.astype(k).tobytes() for c in column], pa.binary()) for column, k in zip(zip(*got, strict=True), (np.uint64, np.uint32), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *packed], names=["id", "label", "terms", "counts"])
 
     one = found.groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
-    rows = sorted(one.mapInArrow(counted, "id long, label int, words map<string,bigint>").collect(), key=lambda r: r.id)
-    return [r.words for r in rows], [r.label for r in rows], [r.id for r in rows], toxic / total
+    rows = sorted(one.mapInArrow(counted, "id long, label int, terms binary, counts binary").collect(), key=lambda r: r.id)
+    terms, counts = ([np.frombuffer(r[c], k) for r in rows] for c, k in (("terms", np.uint64), ("counts", np.uint32)))
+    return terms, counts, [r.label for r in rows], [r.id for r in rows], toxic / total
 
 
 def score(
@@ -282,9 +314,10 @@ def score(
     """The columns `keep` (all by default) with score double, evidence array<long> and evidence_cosine array<double>,
     or of other names.
 
-    A text without words (null, empty, or without letters) has no neighbours: its score is what the share of toxic rows
-    gives. Without examples of both classes every score is that share. Repeated rows stay; an empty table gives an empty
-    table; columns of these names must not be there yet.
+    A text without known words (null, empty, or without letters) has no neighbours: its score is what the share of toxic
+    rows gives. Without examples of both classes every score is that share. Very long texts are scored whole. Of equally
+    near examples the one that comes first in the index counts. Repeated rows stay; an empty table gives an empty table;
+    columns of these names must not be there yet.
     """
     keep = df.columns if keep is None else keep
     new = list(zip(names, [T.DoubleType(), T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())], strict=True))

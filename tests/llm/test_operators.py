@@ -1,9 +1,11 @@
 """Operators on odd tables, and against brute force on made-up ones."""
 
+import collections
 import math
 import random
 import string
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -149,36 +151,64 @@ def made_up(n, seed=0):
     return rows
 
 
+def indexed(rows):
+    hashes = toxicity._Hashes()
+    terms, counts = zip(*[toxicity.count_terms(t, hashes) for t, _, _ in rows], strict=True)
+    return toxicity.Index(terms, counts, [y for _, y, _ in rows], [i for *_, i in rows])
+
+
+def cosines(rows, texts):
+    """TF-IDF cosines of texts with all examples, by terms as strings and without any index."""
+    def counted(text):
+        return collections.Counter(t for w in toxicity.words_of(text) for t in (w, *(w[:k] + "*" for k in (3, 4, 5, 6) if len(w) > k)))
+
+    docs = [counted(t) for t, _, _ in rows]
+    n, positive = len(rows), sum(y for _, y, _ in rows)
+    df = collections.Counter(t for d in docs for t in d)
+    marked = collections.Counter(t for d, (_, y, _) in zip(docs, rows, strict=True) if y for t in d)
+    weight = {t: (1 + math.log(n / df[t])) * math.log2(2 + (marked[t] / positive) / (max(1, df[t] - marked[t]) / (n - positive))) ** 2 for t in df}
+
+    def vector(d):
+        v = {t: (1 + math.log(c)) * weight[t] for t, c in d.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    known = [(i, vector(d)) for d, (_, _, i) in zip(docs, rows, strict=True)]
+    for text in texts:
+        v = vector(counted(text))
+        yield {i: sum(x * u.get(t, 0) for t, x in v.items()) for i, u in known}
+
+
 def test_nearest_examples_are_exact():
-    rows = made_up(300)
-    index = toxicity.Index([toxicity.count_words(t) for t, _, _ in rows], [y for _, y, _ in rows], [i for *_, i in rows])
-    matrix = np.zeros((len(rows), len(index.terms) + 1))
-    at = {int(i): n for n, i in enumerate(index.ids)}
-    for t, _, i in rows:
-        terms, w = index.vector(t)
-        matrix[at[i], terms] = w
-    for t, y, i in made_up(60, 1):
-        terms, w = index.vector(t)
-        number, cosine = index._nearest(terms, w)
-        full = np.zeros(matrix.shape[1])
-        full[terms] = w
-        assert np.allclose(np.sort(cosine), np.sort(matrix @ full)[-len(cosine) :], atol=1e-5) and len(number) == toxicity.NEAREST
-        assert (index.score(t)[0] >= 0.7) == bool(y)
+    docs = {r[0]: r[1] for r in duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()}
+    labels = duckdb.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.01/labels.parquet' ORDER BY 1").fetchall()
+    real = [(docs[i], y, i) for i, y in labels]
+    for rows, texts in ((made_up(300), [t for t, _, _ in made_up(60, 1)]), (real, [docs[i] for i in sorted(docs)[:150]])):
+        index = indexed(rows)
+        for t, want in zip(texts, cosines(rows, texts), strict=True):
+            number, cosine = index.nearest(t)
+            assert len(number) == toxicity.NEAREST
+            assert np.allclose(cosine, sorted(want.values(), reverse=True)[: toxicity.NEAREST], atol=2e-5)
+            assert np.allclose(cosine, [want[i] for i in index.ids[number]], atol=2e-5)
+    index = indexed(made_up(300))
+    assert all((index.score(t)[0] >= 0.7) == bool(y) for t, y, _ in made_up(60, 1))
 
 
 def test_words_next_to_marks_and_without_spaces():
     assert toxicity.words_of("du—idiot ¿idiota? „Idiot“") == ["du", "idiot", "idiota", "idiot"]
     unspaced = toxicity.words_of("这是一个，" * 20 + "很坏的话。")
     assert {"坏", "很坏", "很坏的"} <= set(unspaced) and "个很" not in unspaced
-    a, b = (toxicity.count_words("x" * 60 + end) for end in "yz")
-    assert a != b and all(len(w) < 60 for w in a)
+    a, b = (toxicity.count_terms("x" * 60 + end, toxicity._Hashes())[0].tolist() for end in "yz")
+    assert len(a) == len(b) == 5 and len(set(a) & set(b)) == 4  # the whole words differ
 
 
 def test_toxicity_of_odd_rows(spark, odd, empty):
     docs = spark.createDataFrame([(i, t) for t, _, i in made_up(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for _, y, i in made_up(200)] + [(None, 1), (7, None), (999, 1)], "doc_id long, toxic int")
     index = toxicity.Index(*toxicity.examples(docs, labels))
-    assert index.usable and all((i % 5 == 0) == (t == 1) for i, t in zip(index.ids, index.toxic, strict=True))
+    assert index.usable and all((i % 5 == 0) == (t == 1) for i, t in zip(index.ids, index.model.toxic, strict=True))
+    few = toxicity.examples(docs, labels, most_bytes=3_000)
+    assert 0 < len(few[0]) < 12 and set(few[3]) <= set(index.ids.tolist())
     got = toxicity.score(odd.drop("score"), index).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(empty.drop("score"), index).count() == 0
