@@ -38,8 +38,9 @@ BEGINNINGS = (3, 4, 5, 6)
 GRAMS = (1, 2, 3)
 NEAREST = 15
 BLOCK = 64
+INNER = np.arange(BLOCK)
 #: A term of more than one in so many examples is frequent.
-FREQUENT = 12
+FREQUENT = 8
 #: Folds of examples for the calibration.
 FOLDS = 5
 #: Examples named as evidence.
@@ -88,26 +89,29 @@ def held_out(id: Column) -> Column:
 class _Hashes(dict):
     """The hashes of a word's terms; zero where it has fewer."""
 
+    def __init__(self):
+        self.new: list[list[int]] = []
+        self.table = np.zeros((1 << 12, 1 + len(BEGINNINGS)), np.uint64)  # doubled when it is full
+
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
 
         found = [xxh64_intdigest(t) or 1 for t in terms_of(word)]
-        self.rows.append(found + [0] * (1 + len(BEGINNINGS) - len(found)))
-        self[word] = len(self.rows) - 1
-        return self[word]
-
-    def __init__(self):
-        self.rows: list[list[int]] = []
-        self.table = np.zeros((0, 1 + len(BEGINNINGS)), np.uint64)
+        self.new.append(found + [0] * (1 + len(BEGINNINGS) - len(found)))
+        self[word] = len(self)
+        return len(self) - 1
 
     def of(self, words: list[str]) -> np.ndarray:
         """A row of hashes for each word."""
-        if len(self.rows) > CACHE:
+        if len(self) > CACHE:
             self.clear()
-            self.rows, self.table = [], self.table[:0]
+        known = len(self)
         number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if len(self.table) < len(self.rows):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.uint64)])
+        while len(self.table) < len(self):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        if self.new:
+            self.table[known : len(self)] = self.new
+            self.new = []
         return self.table[number]
 
 
@@ -117,6 +121,25 @@ def count_terms(text: str, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(every[every != 0], return_counts=True)
 
 
+def _alike_together(rows: np.ndarray) -> np.ndarray:
+    """An order of the rows in which those of a block point to much the same side: halved again and again along the
+    direction in which they differ most."""
+
+    def halved(part: np.ndarray) -> list[np.ndarray]:
+        if len(part) <= BLOCK:
+            return [part]
+        own = rows[part] - rows[part].mean(0)
+        axis = own[np.argmax((own * own).sum(1))]
+        for _ in range(12):  # power iteration
+            axis = own.T @ (own @ axis)
+            axis = axis / (np.linalg.norm(axis) or 1)
+        part = part[np.argsort(own @ axis, kind="stable")]
+        half = -(-len(part) // (2 * BLOCK)) * BLOCK  # whole blocks
+        return halved(part[:half]) + halved(part[half:])
+
+    return np.concatenate(halved(np.arange(len(rows))))
+
+
 class Model:
     """Weights of terms, and the inverted index of some examples."""
 
@@ -136,19 +159,20 @@ class Model:
         self.place[np.argsort(~often, kind="stable")] = np.arange(len(df))
         value = (1 + np.log(np.concatenate([np.zeros(0), *counts]))) * self.weight[number]
         value /= np.sqrt(np.bincount(owner, value * value, n))[owner]
-        # examples alike stand together, so that bounds of blocks are tight
-        heavy = np.zeros(n, np.int64)
-        heavy[owner[np.argsort(value, kind="stable")]] = number[np.argsort(value, kind="stable")]
-        self.order = np.lexsort((np.arange(n), heavy, self.toxic))
+        place = self.place[number]
+        some = place < self.n_often
+        blocks = max(1, -(-n // BLOCK))
+        often = np.zeros((blocks * BLOCK, self.n_often), np.float32)
+        often[owner[some], place[some]] = value[some]
+        self.order = _alike_together(often[:n])
         self.toxic = self.toxic[self.order]
         where = np.empty(n, np.int32)
         where[self.order] = np.arange(n)
-        owner, place = where[owner], self.place[number]
-        blocks = max(1, -(-n // BLOCK))
-        some = place < self.n_often
-        self.often = np.zeros((self.n_often, blocks * BLOCK), np.float32)
-        self.often[place[some], owner[some]] = value[some]
-        self.bound = self.often.reshape(self.n_often, blocks, BLOCK).max(2)
+        owner = where[owner]
+        often[:n] = often[self.order]
+        #: By block, frequent term and example of the block; and the largest weight by term and block.
+        self.often = np.ascontiguousarray(often.reshape(blocks, BLOCK, self.n_often).transpose(0, 2, 1))
+        self.bound = np.ascontiguousarray(self.often.max(2).T)
         by = np.lexsort((owner[~some], place[~some]))
         self.holder, self.value = owner[~some][by], value[~some][by].astype(np.float32)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(place[~some] - self.n_often, minlength=len(df) - self.n_often))])
@@ -171,21 +195,27 @@ class Model:
         at = place[~some] - self.n_often
         first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
         every = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        sums = np.zeros(self.often.shape[1]) + np.bincount(self.holder[every], self.value[every] * np.repeat(w[~some], size), self.often.shape[1])
+        sums = np.zeros(len(self.often) * BLOCK)
+        sums += np.bincount(self.holder[every], self.value[every] * np.repeat(w[~some].astype(np.float32), size), len(sums))
         at, w = place[some], w[some].astype(np.float32)
-        live = slice(None)
+        number = np.arange(self.n)
         if len(at):
-            k = min(NEAREST, self.n)
-            worst = np.partition(sums[: self.n], self.n - k)[self.n - k]
             reach = sums.reshape(-1, BLOCK).max(1) + w @ self.bound[at]
-            blocks = np.flatnonzero(reach >= worst - 1e-5)
-            if 2 * len(blocks) > self.bound.shape[1]:
-                sums += w @ self.often[at]
-            else:
-                live = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-                sums[live] += w @ self.often[at[:, None], live]
-        number = np.arange(len(sums))[live]
-        number = number[number < self.n]
+            first = np.argsort(-reach)
+            done, worst, step = 0, -1.0, 2
+            while done < len(first):
+                blocks = first[done : done + step]
+                blocks = blocks[reach[blocks] >= worst - 1e-5]
+                if not len(blocks):
+                    break
+                for b in blocks.tolist():
+                    sums[b * BLOCK : (b + 1) * BLOCK] += w @ self.often[b][at]
+                done += step
+                number = (first[:done, None] * BLOCK + INNER).ravel()
+                number = number[number < self.n]
+                if len(number) >= NEAREST:
+                    worst = np.partition(sums[number], len(number) - NEAREST)[len(number) - NEAREST]
+        number = np.sort(number)
         cosine = np.minimum(1.0, sums[number])
         if len(number) > 4 * NEAREST:
             top = cosine >= np.partition(cosine, len(cosine) - NEAREST)[len(cosine) - NEAREST] - 2e-6
