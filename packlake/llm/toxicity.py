@@ -33,7 +33,7 @@ from .common import MARKS, SOLID
 #: bytes of their texts, beyond which later ones are left out as a whole.
 PER_CLASS, SAMPLE_BYTES = 1_500, 32 << 20
 #: Characters of the beginnings of words that are terms too.
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (4, 6)
 #: Characters taken together as a word in scripts without spaces.
 GRAMS = (1, 2, 3)
 NEAREST = 15
@@ -87,11 +87,11 @@ def held_out(id: Column) -> Column:
 
 
 class _Hashes(dict):
-    """The hashes of a word's terms; zero where it has fewer."""
+    """The terms of words: their hashes, zero where a word has fewer, or what `make` turns these into."""
 
-    def __init__(self):
-        self.new: list[list[int]] = []
-        self.table = np.zeros((1 << 12, 1 + len(BEGINNINGS)), np.uint64)  # doubled when it is full
+    def __init__(self, make=lambda hashes: hashes):
+        self.make, self.new = make, []
+        self.table = make(np.zeros((1 << 12, 1 + len(BEGINNINGS)), np.uint64))  # doubled when it is full
 
     def __missing__(self, word: str) -> int:
         from xxhash import xxh64_intdigest
@@ -102,7 +102,7 @@ class _Hashes(dict):
         return len(self) - 1
 
     def of(self, words: list[str]) -> np.ndarray:
-        """A row of hashes for each word."""
+        """A row for each word."""
         if len(self) > CACHE:
             self.clear()
         known = len(self)
@@ -110,7 +110,7 @@ class _Hashes(dict):
         while len(self.table) < len(self):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         if self.new:
-            self.table[known : len(self)] = self.new
+            self.table[known : len(self)] = self.make(np.array(self.new, np.uint64))
             self.new = []
         return self.table[number]
 
@@ -174,18 +174,23 @@ class Model:
         self.often = np.ascontiguousarray(often.reshape(blocks, BLOCK, self.n_often).transpose(0, 2, 1))
         self.bound = np.ascontiguousarray(self.often.max(2).T)
         by = np.lexsort((owner[~some], place[~some]))
-        self.holder, self.value = owner[~some][by], value[~some][by].astype(np.float32)
+        self.holder, self.value = owner[~some][by].astype(np.intp), value[~some][by]
+        weight, self.weight = self.weight, np.empty(len(df))
+        self.weight[self.place] = weight  # by place
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(place[~some] - self.n_often, minlength=len(df) - self.n_often))])
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and weights of the known terms of a text, of length one; empty for a text without any."""
-        if not len(self.terms) or not len(terms):
-            return np.zeros(0, np.int32), np.zeros(0)
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """Where terms stand in the index, -1 for unknown ones."""
+        if not len(self.terms):
+            return np.full(terms.shape, -1, np.int32)
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        known = self.terms[at] == terms
-        at = at[known]
-        w = (1 + np.log(counts[known])) * self.weight[at]
-        return self.place[at], w / math.sqrt(float(w @ w)) if len(w) else w
+        return np.where(self.terms[at] == terms, self.place[at], np.int32(-1))
+
+    def vector(self, place: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of the known terms of a text, of length one; empty for a text without any."""
+        place, counts = place[place >= 0], counts[place >= 0]
+        w = (1 + np.log(counts)) * self.weight[place]
+        return place, w / math.sqrt(float(w @ w)) if len(w) else w
 
     def nearest(self, place: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the NEAREST examples, best first, of equal ones (to six digits) the first."""
@@ -196,7 +201,7 @@ class Model:
         first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
         every = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
         sums = np.zeros(len(self.often) * BLOCK)
-        sums += np.bincount(self.holder[every], self.value[every] * np.repeat(w[~some].astype(np.float32), size), len(sums))
+        sums += np.bincount(self.holder[every], self.value[every] * np.repeat(w[~some], size), len(sums))
         at, w = place[some], w[some].astype(np.float32)
         number = np.arange(self.n)
         if len(at):
@@ -234,7 +239,7 @@ class Index:
         self.share = share if share is not None else positive / max(1, n)
         self.usable = 0 < positive < n
         self.curve = (0.0, 1.0)
-        self._hashes = None
+        self._places = None
         if not self.usable:
             return
         #: Weight of a vote for each class, so that classes count by their shares among all labelled rows.
@@ -248,13 +253,13 @@ class Index:
             if 0 < label[rest].sum() < len(rest):
                 model = Model([terms[i] for i in rest], [counts[i] for i in rest], label[rest])
                 for i in np.flatnonzero(fold == f):
-                    raw[i] = self._vote(model, *model.nearest(*model.vector(terms[i], counts[i])))
+                    raw[i] = self._vote(model, *model.nearest(*model.vector(model.places(terms[i]), counts[i])))
         self._fit(raw, label)
         self.model = Model(terms, counts, label)
         self.ids = np.array([ids[i] for i in by], np.int64)[self.model.order]
 
     def __getstate__(self):
-        return self.__dict__ | {"_hashes": None}
+        return self.__dict__ | {"_places": None}
 
     def _vote(self, model: Model, number: np.ndarray, cosine: np.ndarray) -> float:
         if not len(number):
@@ -284,8 +289,10 @@ class Index:
         return np.log(p / (1 - p))
 
     def nearest(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        self._hashes = self._hashes or _Hashes()
-        return self.model.nearest(*self.model.vector(*count_terms(text, self._hashes)))
+        if self._places is None:
+            self._places = _Hashes(self.model.places)
+        every = self._places.of(words_of(text)).ravel()
+        return self.model.nearest(*self.model.vector(*np.unique(every[every >= 0], return_counts=True)))
 
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
         """Score from 0 to 1, and the ids and cosines of the nearest examples."""
