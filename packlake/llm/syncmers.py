@@ -2,9 +2,12 @@
 
 The units are words (single characters in scripts without spaces). A run of K words is an anchor if, of the hashes of
 the runs of S words inside it, the smallest is the first or the last one. Whether it is depends on these K words alone,
-not on what stands around them, so a passage keeps its anchors wherever it is moved, and anchors with their places match
-passages by position. The fingerprint keeps the M smallest distinct hashes of anchors; the likeness of two fingerprints
-is the share of the M smallest of both together that both have, which estimates the Jaccard likeness of all anchors.
+not on what stands around them, so a passage keeps its anchors wherever it is moved. The fingerprint holds all anchors,
+each hash with its first place, and so grows with the text.
+
+Fingerprints are compared by position: anchors that both have vote for an offset, the place in one minus the place in the
+other, and those count whose offset another shares, as the anchors of a common passage do. The likeness is the share of
+anchors that count, of those of both together.
 
 Only DataFrame functions are used.
 """
@@ -17,9 +20,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words of an anchor, and of the runs compared inside it.
-K, S = 4, 2
-#: Hashes that a fingerprint keeps, and hexadecimal digits of each.
-M, DIGITS = 64, 12
+K, S = 8, 2
+#: An anchor is a number: HASH bits of its hash, one bit to tell two texts apart, and PLACE bits of its place in words.
+HASH, PLACE = 38, 24
 #: Scripts written without spaces: each character is a unit.
 SOLID = r"[฀-໿က-႟ក-៿⺀-꓏豈-﫿\x{20000}-\x{3FFFF}]"
 #: Ranges of ids into which rows are dealt for finding neighbours; two for each shuffle partition, but no more.
@@ -38,53 +41,76 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
 
     A text with units but without an anchor has one of them all, at 0; null and empty texts have none.
     """
-    w, h, free = "__words", "__runs", [quoted for quoted in map(common.quoted, df.columns)]
+    w, h = (common.unique_name([*df.columns, out], c) for c in ("__words", "__runs"))
+    free = [common.quoted(c) for c in df.columns]
     found = df.select(*free, words(F.coalesce(common.quoted(text).cast("string"), F.lit(""))).alias(w))
     runs = F.when(F.size(w) >= K, F.transform(F.sequence(F.lit(0), F.size(w) - S), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(S)])))
     found = found.select(*free, w, F.coalesce(runs, F.array().cast("array<bigint>")).alias(h))
     inner = [lambda i, j=j: F.get(h, i + j) for j in range(K - S + 1)]
-    closed = lambda i: F.least(*[g(i) for g in inner]) == F.least(inner[0](i), inner[-1](i))
+    closed = lambda i: F.least(inner[0](i), inner[-1](i)) <= F.least(*[g(i) for g in inner[1:-1]])
     places = F.filter(F.sequence(F.lit(0), F.size(w) - K), closed)
-    anchors = F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[g(i) for g in inner[::S]], F.get(w, i + K - 1)).alias("hash")))
+    anchors = F.transform(places, lambda i: F.struct(i.alias("pos"), F.xxhash64(*[g(i) for g in inner[::S]]).alias("hash")))
     none = F.array().cast("array<struct<pos:int,hash:bigint>>")
     whole = F.when(F.size(w) > 0, F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(w).alias("hash")))).otherwise(none)
     found = found.select(*free, w, F.when(F.size(w) >= K, anchors).otherwise(none).alias(out))
-    return found.select(*free, F.when(F.size(out) > 0, F.col(out)).otherwise(whole).alias(out))
+    return found.select(*free, F.when(F.size(common.quoted(out)) > 0, common.quoted(out)).otherwise(whole).alias(out))
+
+
+def codes(anchors: Column) -> Column:
+    """Anchors as sorted numbers, of equal hashes the first alone. Places beyond what PLACE bits hold begin anew."""
+    code = lambda a: F.shiftleft(F.shiftrightunsigned(a["hash"], 64 - HASH), PLACE + 1) + a["pos"].bitwiseAND((1 << PLACE) - 1)
+    every = F.sort_array(F.transform(anchors, code))
+    new = lambda x, before: F.when(before.isNull() | (F.shiftright(x, PLACE + 1) != F.shiftright(before, PLACE + 1)), x)
+    before = F.concat(F.array(F.lit(None).cast("bigint")), every)
+    return F.filter(F.zip_with(every, F.slice(before, 1, F.size(every)), new), lambda x: x.isNotNull())
+
+
+def offsets(a: Column, b: Column) -> Column:
+    """Of every hash that two fingerprints share: its place in b minus its place in a, sorted."""
+    both = F.sort_array(F.concat(a, F.transform(b, lambda x: x + (1 << PLACE))))
+    same = lambda x, y: F.when(F.shiftright(x, PLACE + 1) == F.shiftright(y, PLACE + 1), y - x - (1 << PLACE))
+    found = F.zip_with(both, F.slice(both, 2, F.greatest(F.size(both), F.lit(1))), same)
+    return F.sort_array(F.filter(found, lambda x: x.isNotNull()))
 
 
-def sketch(anchors: Column) -> Column:
-    """The M smallest distinct hashes of an array of anchors, 48 bits of each, in order."""
-    hashes = F.transform(anchors, lambda a: F.shiftrightunsigned(a["hash"], 64 - 4 * DIGITS))
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, M)
+def in_company(sorted_offsets: Column) -> Column:
+    """How many of the offsets occur more than once."""
+
+    def step(seen, x):
+        times = F.when(x == seen["last"], seen["times"] + 1).otherwise(F.lit(1))
+        more = F.when(times == 2, 2).when(times > 2, 1).otherwise(0)
+        return F.struct(x.alias("last"), times.alias("times"), (seen["n"] + more).alias("n"))
+
+    start = F.struct(F.lit(1 << 62).cast("bigint").alias("last"), F.lit(0).alias("times"), F.lit(0).alias("n"))
+    return F.aggregate(sorted_offsets, start, step)["n"]
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """From 0 to 1, of two sketches; 1 for two empty ones."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, M)
-    both = F.size(F.array_intersect(F.array_intersect(least, a), b))
-    return F.when(F.size(least) == 0, 1.0).otherwise(both / F.size(least))
+    """From 0 to 1, of two fingerprints; 1 for two empty ones. One anchor alone needs no company where it is all of a
+    fingerprint."""
+    size = F.size(a) + F.size(b)
+    shared = offsets(a, b)
+    counted = F.when((F.size(a) == 1) | (F.size(b) == 1), F.size(shared)).otherwise(in_company(shared))
+    return F.when(size == 0, 1.0).when(a == b, 1.0).otherwise(2 * counted / size)
 
 
-def as_text(hashes: Column) -> Column:
-    return F.lower(F.array_join(F.transform(hashes, lambda x: F.lpad(F.hex(x), DIGITS, "0")), ""))
+def as_text(codes: Column) -> Column:
+    """A fingerprint as hexadecimal digits, sixteen for each anchor."""
+    return F.lower(F.array_join(F.transform(codes, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """`df` with an array column `out` of up to M numbers: the fingerprint of the whole text.
+    """`df` with an array column `out` of numbers: the fingerprint of the whole text.
 
     Equal texts have equal fingerprints; those of null, empty and white-space texts are empty. A text too short for an
     anchor is one by itself. Repeated rows stay; an empty table gives an empty table; a column already named `out` is an
-    error. Nothing is shuffled.
+    error. Very long texts are read whole. Nothing is shuffled.
     """
     if out.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the table already has a column {out}")
     keep = [common.quoted(c) for c in df.columns]
-    return with_anchors(df, text, "__anchors").select(*keep, sketch(F.col("__anchors")).alias(out))
-
-
-def matched_offsets(a: Column, b: Column) -> Column:
-    """For two arrays of anchors (texts of moderate length): the distinct pos in b minus pos in a of shared hashes."""
-    return F.array_distinct(F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y["hash"] == x["hash"]), lambda y: y["pos"] - x["pos"]))))
+    found = common.unique_name([*df.columns, out], "__anchors")
+    return with_anchors(df, text, found).select(*keep, codes(F.col(found)).alias(out))
 
 
 def with_next(df: DataFrame, columns: list[str], id: str, tie: Column, make=lambda x: x) -> DataFrame:
@@ -96,6 +122,7 @@ def with_next(df: DataFrame, columns: list[str], id: str, tie: Column, make=lamb
     Only the limits of the ranges, as many as the shuffle has partitions, come to the driver.
     """
     spark = df.sparkSession
+    _place, _tie, _to, _late = (common.unique_name([*df.columns, *columns], f"__{c}") for c in ("place", "tie", "to", "late"))
     n = min(MOST_RANGES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = common.quoted(id)
     asked = [i / n for i in range(1, n)]
@@ -119,18 +146,18 @@ def with_next(df: DataFrame, columns: list[str], id: str, tie: Column, make=lamb
     before = dict(zip(order, [order[-1], *order[:-1]], strict=True))
     lowest, highest = min(order), max(order)
     every = range(lowest, highest + 1)
-    at = F.col("__place") - lowest
+    at = F.col(_place) - lowest
     first = key.eqNullSafe(F.get(F.array(*[F.lit(head.get(p)) for p in every]), at))
     back = F.get(F.array(*[F.lit(before.get(p)) for p in every]), at)
-    wrapped = F.when(F.col("__place") == highest, 2).otherwise(1)
-    targets = F.when(first, F.array(_target(F.col("__place"), F.lit(0)), _target(back, wrapped))).otherwise(F.array(_target(F.col("__place"), F.lit(0))))
-    dealt = df.withColumn("__place", place).withColumn("__tie", tie).withColumn("__to", F.explode(targets))
-    dealt = dealt.select(*map(common.quoted, df.columns), "__tie", F.col("__to.place").alias("__place"), F.col("__to.late").alias("__late"))
-    dealt = make(dealt.repartition("__place"))
-    along = Window.partitionBy("__place").orderBy("__late", key.desc_nulls_last(), F.desc("__tie"))
+    wrapped = F.when(F.col(_place) == highest, 2).otherwise(1)
+    targets = F.when(first, F.array(_target(F.col(_place), F.lit(0)), _target(back, wrapped))).otherwise(F.array(_target(F.col(_place), F.lit(0))))
+    dealt = df.withColumn(_place, place).withColumn(_tie, tie).withColumn(_to, F.explode(targets))
+    dealt = dealt.select(*map(common.quoted, df.columns), _tie, F.col(f"{_to}.place").alias(_place), F.col(f"{_to}.late").alias(_late))
+    dealt = make(dealt.repartition(_place))
+    along = Window.partitionBy(_place).orderBy(_late, key.desc_nulls_last(), F.desc(_tie))
     following = [F.lead(common.quoted(c)).over(along).alias(f"next_{c}") for c in columns]
-    keep = [common.quoted(c) for c in dealt.columns if c not in ("__place", "__tie", "__late")]
-    return dealt.select(*keep, "__late", *following).where("__late = 0").drop("__late")
+    keep = [common.quoted(c) for c in dealt.columns if c not in (_place, _tie, _late)]
+    return dealt.select(*keep, _late, *following).where(f"{_late} = 0").drop(_late)
 
 
 def _target(place: Column, late: Column) -> Column:

@@ -91,22 +91,34 @@ def test_byte_bpe(spark, docs):
         assert got[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
-def anchors(words, k=4, s=2):
-    """Places of closed syncmers, by their definition."""
+def anchors(words, k=8, s=2):
+    """(place, hash) of closed syncmers, by their definition."""
     from xxhash import xxh64_intdigest
 
-    def run(at):
+    def chained(parts):
         h = 42
-        for w in words[at : at + s]:
-            h = xxh64_intdigest(w.encode(), h)
-        return h - (1 << 64) if h >> 63 else h
+        for p in parts:
+            h = xxh64_intdigest(p, h)
+        return h
 
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    runs = [chained(w.encode() for w in words[i : i + s]) for i in range(len(words) - s + 1)]
     out = []
     for i in range(len(words) - k + 1):
-        inner = [run(i + j) for j in range(k - s + 1)]
-        if min(inner) in (inner[0], inner[-1]):
-            out.append(i)
-    return out
+        inner = runs[i : i + k - s + 1]
+        if min(map(signed, inner)) in (signed(inner[0]), signed(inner[-1])):
+            out.append((i, chained(h.to_bytes(8, "little") for h in inner[::s])))
+    return out or ([(0, chained(w.encode() for w in words))] if words else [])
+
+
+def alike(a, b):
+    """Share of the anchors of two texts that both have, at a distance that another one has too."""
+    a, b = ({h >> 26: p for p, h in reversed(x)} for x in (a, b))
+    moved = collections.Counter(b[h] - a[h] for h in a.keys() & b.keys())
+    if a == b:
+        return 1.0
+    both = sum(n for n in moved.values() if n > 1 or 1 in (len(a), len(b)))
+    return 2 * both / (len(a) + len(b))
 
 
 def test_syncmers(spark, docs):
@@ -116,25 +128,23 @@ def test_syncmers(spark, docs):
 
     got = {r.doc_id: r for r in rows(spark, "op7_syncmer_fingerprints")}
     order = sorted(docs, reverse=True)
-    for (i, text), (j, following) in zip(order, order[1:] + order[:1], strict=True):
+    texts = {}
+    for (i, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
         half = len(text) // 2
-        edited = text[: len(text) - half] + following[:half]
-        r = got[i]
-        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        a, b, c = ({f[k : k + 12] for k in range(0, len(f), 12)} for f in (r.fingerprint, r.edited_fingerprint, got[j].fingerprint))
-        for x, y, near in ((a, b, r.near_edited), (a, c, r.near_next)):
-            least = sorted(x | y)[:64]
-            assert near == pytest.approx(sum(h in x and h in y for h in least) / len(least) if least else 1.0)
-        if edited == text:
-            assert r.fingerprint == r.edited_fingerprint and r.near_edited == 1
+        texts[i] = (text, text[: len(text) - half] + following[:half], following)
+    frame = spark.createDataFrame([(i, *t) for i, t in texts.items()], "doc_id long, a string, b string, c string")
+    for r in frame.select("doc_id", *[syncmers.words(F.col(c)).alias(c) for c in "abc"]).collect():
+        text, edited, _ = texts[r.doc_id]
+        found, g = [anchors(r[c]) for c in "abc"], got[r.doc_id]
+        assert g.n_chars == len(text) and g.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        for x, shown in zip(found, (g.fingerprint, g.edited_fingerprint), strict=False):
+            first = {h >> 26: p for p, h in reversed(x)}
+            assert shown == "".join(f"{h << 25 | p:016x}" for h, p in sorted(first.items()))
+        assert g.near_edited == pytest.approx(alike(found[0], found[1])) and g.near_next == pytest.approx(alike(found[0], found[2]))
     by_text = collections.defaultdict(set)
     for i, text in docs:
         by_text[text].add(got[i].fingerprint)
     assert all(len(x) == 1 for x in by_text.values())
-    frame = spark.createDataFrame(docs[:40], "doc_id long, text string")
-    for r in syncmers.with_anchors(frame, "text", "found").withColumn("w", syncmers.words(F.col("text"))).collect():
-        want = anchors(r.w) or ([0] if r.w else [])
-        assert [x.pos for x in r.found] == want
 
 
 def test_toxicity(spark, docs):
