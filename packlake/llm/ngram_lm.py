@@ -33,7 +33,6 @@ BLOCK_BYTES = 12_000_000
 #: ASCII characters that are no words; all others, in lower case, are.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 SPACED = bytes(0x20 if b in SEPARATORS else b for b in range(256))
-PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CACHE = 300_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,6 +109,14 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(every[every != 0], return_counts=True)
 
 
+def _sizes(batches):
+    """Bytes and words of the texts of each batch. Lower case changes neither separators nor the number of words."""
+    for batch in batches:
+        texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")]
+        words = sum(len(t.translate(SPACED).split()) for t in texts)
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, texts))]), pa.array([words], pa.int64())], names=["size", "words"])
+
+
 def _limits(n: int) -> np.ndarray:
     return (np.arange(1, n, dtype=np.float64) * (2.0**64 / n)).astype(np.uint64)
 
@@ -239,12 +246,10 @@ def score(df: DataFrame, id: str = "doc_id", text: str = "text", order: int = OR
     each is part of the corpus for the others. Null ids stay. An empty table gives an empty table.
     """
     mine = df.select(common.quoted(id).cast("long").alias("id"), F.coalesce(common.quoted(text).cast("string"), F.lit("")).alias("text"))
-    size, words = mine.agg(
-        F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.coalesce(F.sum(F.regexp_count("text", F.lit(PATTERN)).cast("long")), F.lit(0))
-    ).first()
+    size, words = mine.select("text").mapInArrow(_sizes, "size long, words long").agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     blocks = blocks or max(1, -(-size // BLOCK_BYTES))
-    # rows of one id share a block only if their texts are equal too, or by chance: no key fills a block but copies do
-    number = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")
+    # by the row's own number, so that neither an id nor copies of a text, even of whole rows, fill a block
+    number = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
     dealt = mine.select(number.alias("block"), "id", "text").repartition(blocks, "block")  # used twice, shuffled once
     asked = dealt.sortWithinPartitions("block").mapInArrow(_asked(order, blocks), "part int, block int, data binary")
     answers = asked.groupBy("part").applyInArrow(_answers, "block int, data binary")
