@@ -40,7 +40,7 @@ NEAREST = 15
 BLOCK = 64
 INNER = np.arange(BLOCK)
 #: A term of more than one in so many examples is frequent.
-FREQUENT = 8
+FREQUENT = 16
 #: Folds of examples for the calibration.
 FOLDS = 5
 #: Examples named as evidence.
