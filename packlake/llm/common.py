@@ -70,6 +70,14 @@ def portions(texts: list, most: int) -> Iterator[list]:
         yield part
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes, which are turned into Python objects one after the other."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(most, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def unique_name(taken: list[str], name: str) -> str:
     """`name`, with underscores in front until no column of that name (in any case) exists."""
     low = {c.lower() for c in taken}
@@ -97,14 +105,9 @@ def map_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for part in slices(batches):
             f = f or make()
-            rows = max(1, batch.num_rows * SLICE // max(SLICE, batch.nbytes))
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                out = f(*part.columns[n_keep:])
-                yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], *out], names=[s.name for s in schema.fields])
+            out = f(*part.columns[n_keep:])
+            yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], *out], names=[s.name for s in schema.fields])
 
     return kept.mapInArrow(run, schema)

@@ -189,15 +189,12 @@ def _hits(sizes: list[int], wanted=None, literal: list[int] = [], lines: bool =
         if wanted is not None:
             bits = np.frombuffer(zlib.decompress(wanted.value), np.uint8)
             table = np.bitwise_or.reduce(bits.reshape(1 << FIRST_BITS, -1), axis=1) != 0
-        for batch in batches:
-            rows = max(1, batch.num_rows * common.SLICE // max(common.SLICE, batch.nbytes))
-            for begin in range(0, batch.num_rows, rows):
-                part = batch.slice(begin, rows)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                at = 0
-                for portion in common.portions(texts, PORTION):
-                    yield from found(part.slice(at, len(portion)), portion, windows, table, bits)
-                    at += len(portion)
+        for part in common.slices(batches):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            at = 0
+            for portion in common.portions(texts, PORTION):
+                yield from found(part.slice(at, len(portion)), portion, windows, table, bits)
+                at += len(portion)
 
     def found(part, texts, windows, table, bits):
         for form, size, starts, hashes, *rest in (*windows.of(texts), *(_lines(texts) if lines else ())):

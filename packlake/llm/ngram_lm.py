@@ -111,7 +111,7 @@ def _distinct(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _sizes(batches):
     """Bytes and words of the texts of each batch. Lower case changes neither separators nor the number of words."""
-    for batch in batches:
+    for batch in common.slices(batches):
         texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")]
         words = sum(len(t.translate(SPACED).split()) for t in texts)
         yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, texts))]), pa.array([words], pa.int64())], names=["size", "words"])

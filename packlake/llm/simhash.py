@@ -342,7 +342,7 @@ def _common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
     """Hashes, sorted, and counts of the shingles found more than once in a sample of texts (columns k1, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             for t in batch.column("text").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.encode(), size).view(np.int64))], names=["h"])
 
@@ -376,7 +376,7 @@ def _spread(similarity: float):
     one as long or longer."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             sizes = np.array([len(x) // 8 for x in batch.column("prefix").to_pylist()], np.int64)
             keys = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.int64)
             own = np.repeat(np.arange(len(sizes)), sizes)
@@ -473,7 +473,7 @@ def _alike(texts: DataFrame, heads: DataFrame, pairs: DataFrame, size: int, simi
     wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(heads, "node").select(F.col("node").alias("k1"), "id")
 
     def sets(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             found = [shingle_set((t or "").encode(), size) for t in batch.column("text").to_pylist()]
             columns = [batch.column("k1"), pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "set"])
@@ -489,7 +489,7 @@ def _compare(similarity: float):
     """For rows (a, b, sa, sb, na, nb): those (a, b) whose sets may be alike. sa, sb: the first shingles of sets of na and nb."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches):
             good = []
             for x, y, n, m in zip(batch.column("sa"), batch.column("sb"), batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True):
                 p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))

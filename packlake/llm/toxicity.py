@@ -334,7 +334,7 @@ def examples(
 
     def counted(batches):  # a text comes to the driver as the hashes and counts of its terms
         hashes = _Hashes()
-        for batch in batches:
+        for batch in common.slices(batches):
             got = [count_terms(t, hashes) for t in batch.column("text").to_pylist()]
             packed = [pa.array([c.astype(k).tobytes() for c in column], pa.binary()) for column, k in zip(zip(*got, strict=True), (np.uint64, np.uint32), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *packed], names=["id", "label", "terms", "counts"])
