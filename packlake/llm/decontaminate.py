@@ -78,7 +78,7 @@ def kind(token: str) -> str:
 
 
 class _Words(dict):
-    """Number of each token; makes rows of hashes for the two forms of texts when a token is first met."""
+    """Number of each token; makes rows of hashes for the two forms of texts when a token is first met (forms: the new ones)."""
 
     def __init__(self):
         self.forms: list[tuple[int, int, int, int, int]] = []
@@ -91,8 +91,8 @@ class _Words(dict):
         plain = xxh64_intdigest(low, 1)
         slot = xxh64_intdigest(k, 2)
         self.forms.append((slot if k else plain, slot if k in ("n", "u") and k else plain, plain, bool(k), k in ("n", "u") and bool(k)))
-        self[token] = len(self.forms) - 1
-        return self[token]
+        self[token] = len(self)
+        return len(self) - 1
 
 
 class Windows:
@@ -117,8 +117,8 @@ class Windows:
             tokens += tokens_of(t)
             ends.append(len(tokens))
         number = np.fromiter(map(self._words.__getitem__, tokens), np.int64, len(tokens))
-        if len(self._table) < len(self._words.forms):
-            new = self._words.forms[len(self._table) :]
+        if self._words.forms:
+            new, self._words.forms = self._words.forms, []
             self._table = np.concatenate([self._table, np.array([f[:3] for f in new], np.uint64).reshape(-1, 3)])
             self._slots = np.concatenate([self._slots, np.array([f[3:] for f in new], np.int64).reshape(-1, 2)])
         ends = np.array(ends, np.int64)
@@ -229,7 +229,7 @@ def _hits(sizes: list[int], wanted=None, literal: list[int] = [], lines: bool =
                 names=["id", "unit", "form", "size", "pos", "hash", "slots"],
             )
 
-    return run
+    return common.frugal(run)
 
 
 SCHEMA = "id long, unit long, form int, size int, pos long, hash long, slots array<string>"

@@ -247,7 +247,7 @@ def links(values: DataFrame, radius: int = 4, most_in_task: int = MOST_IN_TASK)
         raise ValueError("the radius must be even")
     keys = F.array(*[F.col("v").bitwiseAND(F.lit(_signed(m))) for m in masks(radius)])
     keyed = values.select(F.explode(keys).alias("key"), "v")
-    found = keyed.repartition("key").sortWithinPartitions("key", "v").mapInArrow(_link_sorted(radius, most_in_task), "a long, b long, wide boolean")
+    found = keyed.repartition("key").sortWithinPartitions("key", "v").mapInArrow(common.frugal(_link_sorted(radius, most_in_task)), "a long, b long, wide boolean")
     found = common.checkpoint(found.distinct())
     near = found.where("not wide").select("a", "b")
     wide = found.where("wide").select(F.col("a").alias("v")).distinct()
@@ -347,7 +347,7 @@ def _common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarra
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.encode(), size).view(np.int64))], names=["h"])
 
     step = max(1, texts.count() // SAMPLE)
-    found = texts.where(F.pmod("k1", F.lit(step)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").count()
+    found = texts.where(F.pmod("k1", F.lit(step)) == 0).select("text").mapInArrow(common.frugal(run), "h long").groupBy("h").count()
     rows = found.where("count > 1").orderBy(F.desc("count"), "h").limit(MOST_COMMON).collect()
     h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(h)
@@ -427,8 +427,8 @@ def _grouped(texts: DataFrame, nodes: DataFrame, size: int, similarity: float, r
     near = links(distinct.select("v"), radius).join(first, "a").join(second, "b").select("x", "y")
     near = near.union(nodes.join(distinct, "v").where("node != least").select("least", "node"))
     pairs = common.checkpoint(near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    spread = nodes.select("node", "n", "prefix").mapInArrow(_spread(similarity), "key long, place long, node long")
-    posts = common.checkpoint(spread.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_in_company, spread.schema))
+    spread = nodes.select("node", "n", "prefix").mapInArrow(common.frugal(_spread(similarity)), "key long, place long, node long")
+    posts = common.checkpoint(spread.repartition("key").sortWithinPartitions("key", "place").mapInArrow(common.frugal(_in_company), spread.schema))
     bits = lambda c, at: F.shiftright(c, at).bitwiseAND(F.lit((1 << 31) - 1))
     posts = posts.select("key", "node", bits("place", 31).alias("n"), bits("place", 0).alias("left"), (F.col("place") >= 1 << 62).alias("late"))
     known = posts.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
@@ -468,7 +468,7 @@ def _alike(texts: DataFrame, heads: DataFrame, pairs: DataFrame, size: int, simi
     """
     first, second = (heads.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"s{c}")) for c in "ab")
     close = pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb", "na", "nb")
-    close = common.checkpoint(close.mapInArrow(_compare(similarity), "a long, b long"))
+    close = common.checkpoint(close.mapInArrow(common.frugal(_compare(similarity)), "a long, b long"))
     common.release(texts.sparkSession)
     wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(heads, "node").select(F.col("node").alias("k1"), "id")
 
@@ -479,10 +479,10 @@ def _alike(texts: DataFrame, heads: DataFrame, pairs: DataFrame, size: int, simi
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "set"])
 
     one = texts.select("k1", "id", "text").join(wanted, ["k1", "id"], "left_semi").dropDuplicates(["k1", "id"])
-    whole = common.checkpoint(one.select("k1", "text").mapInArrow(sets, "id long, n int, set binary"))
+    whole = common.checkpoint(one.select("k1", "text").mapInArrow(common.frugal(sets), "id long, n int, set binary"))
     common.release(texts.sparkSession)
     both = close.join(whole.toDF("a", "na", "sa"), "a").join(whole.toDF("b", "nb", "sb"), "b").select("a", "b", "sa", "sb", "na", "nb")
-    return both.mapInArrow(_compare(similarity), "a long, b long")
+    return both.mapInArrow(common.frugal(_compare(similarity)), "a long, b long")
 
 
 def _compare(similarity: float):

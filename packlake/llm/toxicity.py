@@ -47,7 +47,7 @@ FOLDS = 5
 EVIDENCE = 3
 THRESHOLD = 0.7
 #: Distinct words that a worker remembers.
-CACHE = 200_000
+CACHE = 120_000
 
 #: All ASCII characters but letters stand between words.
 SPACED = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -340,7 +340,7 @@ def examples(
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), *packed], names=["id", "label", "terms", "counts"])
 
     one = found.groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
-    rows = sorted(one.mapInArrow(counted, "id long, label int, terms binary, counts binary").collect(), key=lambda r: r.id)
+    rows = sorted(one.mapInArrow(common.frugal(counted), "id long, label int, terms binary, counts binary").collect(), key=lambda r: r.id)
     terms, counts = ([np.frombuffer(r[c], k) for r in rows] for c, k in (("terms", np.uint64), ("counts", np.uint32)))
     return terms, counts, [r.label for r in rows], [r.id for r in rows], toxic / total
 
