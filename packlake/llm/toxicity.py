@@ -47,7 +47,7 @@ FOLDS = 5
 EVIDENCE = 3
 THRESHOLD = 0.7
 #: Distinct words that a worker remembers.
-CACHE = 120_000
+CACHE = 200_000
 
 #: All ASCII characters but letters stand between words.
 SPACED = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
