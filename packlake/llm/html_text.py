@@ -54,8 +54,9 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SIGMA = 1.0
-#: What elements and names that hint at something else than the article, or at it, multiply a line's ratio by.
-AGAINST, FOR = 0.1, 2.0
+#: What multiplies a line's ratio: names that hint at something else than the article, elements that do, and elements that
+#: hint at the article.
+AGAINST, FURNITURE, FOR = 0.1, 0.01, 2.0
 #: Share of the upper cluster's text that the region must hold.
 NEARLY_ALL = 0.8
 
@@ -221,7 +222,8 @@ def threshold(values: list[float]) -> float:
 def upper_cluster(lines: list[Line], sizes: list[int]) -> list[bool]:
     """Which lines belong to the upper cluster of smoothed ratios. Hints weigh in before the smoothing; a doubtful line is
     not lifted by its neighbours, and a line that is mostly links is never in it."""
-    ratios = [n / max(1, x.tags) * (AGAINST if x.inside.doubtful else FOR if x.inside.within else 1) for x, n in zip(lines, sizes, strict=True)]
+    hint = lambda c: FURNITURE if c.furniture else AGAINST if c.doubtful else FOR if c.within else 1
+    ratios = [n / max(1, x.tags) * hint(x.inside) for x, n in zip(lines, sizes, strict=True)]
     values = [min(own, s) if x.inside.doubtful else s for x, own, s in zip(lines, ratios, smoothed(ratios), strict=True)]
     at = threshold(values)
     return [v >= at and 2 * x.linked <= n for v, x, n in zip(values, lines, sizes, strict=True)]
