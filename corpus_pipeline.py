@@ -9,23 +9,40 @@ from packlake.llm import byte_bpe, common, decontaminate, simhash, toxicity
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled documents still there, and drop what scores as toxic."""
+    """Learn from the labelled documents still there, and drop what scores as toxic.
+
+    Null, empty and very long texts are scored like others (without known words: as the share of toxic labels); repeated
+    rows all stay or all go; other columns, of any names, stay. Without labels of both classes nothing goes unless that
+    share reaches the threshold. Empty tables give empty ones.
+    """
     index = toxicity.Index(*toxicity.examples(docs, common.table(spark, sf_dir, "labels")))
     return toxicity.keep_harmless(docs, index)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents alike by 0.8 or more of their five-word shingles, keep that of the smallest id."""
+    """Of each group of documents alike by 0.8 or more of their five-word shingles, keep that of the smallest id.
+
+    Null and empty texts are one text; of repeated rows one stays; other columns, of any names, stay. Rows without an id
+    yield to rows with one. Empty tables give empty ones.
+    """
     return simhash.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item, also with other names and numbers."""
+    """Drop documents that hold a benchmark item, also with other names and numbers.
+
+    Null and empty texts stay; repeated rows all stay or all go; other columns, of any names, stay. An empty benchmark or
+    an empty table changes nothing.
+    """
     return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and whether they decode to its text."""
+    """Ids of every document, and whether they decode to its text: (doc_id, lang, source, n_tokens, ids, lossless).
+
+    Null texts count as empty ones, which have no ids; repeated rows stay; other columns are not carried on. Empty tables
+    give empty ones.
+    """
     import public_tokenizers
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
