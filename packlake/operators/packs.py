@@ -13,7 +13,7 @@ from ..errors import PackError, UnknownBlob
 from ..functions import refs
 from ..plans.layout import Limits, plan, ref_path_of, shard_of, shard_starts
 from ..sources.formats import BYTES, ROWS, register
-from ..sources.ranges import Handles, Ranges, carry, list_files, with_options
+from ..sources.ranges import Handles, Ranges, carry, list_files, list_states, with_options
 from ..sources.shards import Shard
 
 #: Shards that references may name for only these to be listed; beyond, all are.
@@ -80,6 +80,7 @@ class Pack:
         if not files:
             raise PackError(f"no shards in {folder}")
         self.paths = dict(files)
+        self._counted: tuple[list, dict[str, int]] | None = None
         if validate:
             self.index(validate=True).agg(F.count("*")).collect()
             self.check_unique()
@@ -124,6 +125,15 @@ class Pack:
         if found:
             raise PackError("duplicate key in the pack: " + ", ".join(repr(r.key) for r in found))
 
+    def _counts(self) -> dict[str, int]:
+        """Members of each shard, of a pack without duplicate keys. Read again only when names, sizes or times of the files
+        have changed, so that the scans of several workers read the whole index once."""
+        state = list_states(self.folder, self.pattern)
+        if self._counted is None or self._counted[0] != state or any(s[3] is None for s in state):
+            self.check_unique()
+            self._counted = state, {r[0]: r[1] for r in self.index().groupBy("shard").agg(F.count("*")).collect()}
+        return self._counted[1]
+
     def _located(self, df: DataFrame, column: str, unique: bool) -> DataFrame:
         """`df` with __shard, __key and where the member is, null where there is none."""
         ref = F.col(column)
@@ -247,8 +257,7 @@ class Pack:
         """
         if not 0 <= worker < workers:
             raise ValueError("worker must be one of the workers")
-        self.check_unique()
-        counts = {r[0]: r[1] for r in self.index().groupBy("shard").agg(F.count("*")).collect()}
+        counts = self._counts()
         order = sorted(self.paths)
         if shuffle:
             random.Random(seed).shuffle(order)

@@ -62,13 +62,18 @@ def filesystem(path: str):
 
 def list_files(folder: str, pattern: str = "*.zip") -> list[tuple[str, str]]:
     """(name, path) of the files right in a folder that match, by name; names must differ."""
+    return [(n, p) for n, p, _, _ in list_states(folder, pattern)]
+
+
+def list_states(folder: str, pattern: str = "*.zip") -> list[tuple[str, str, int | None, int | None]]:
+    """(name, path, size, time of the last change in ns) of these files; null where the store doesn't know."""
     import pyarrow.fs as pafs
 
     fs, root = filesystem(folder)
     found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
     scheme = folder[: len(folder) - len(root)] if folder.startswith(CARRIED) else folder.split("://")[0] + "://" if is_remote(folder) else ""
-    names = sorted(f.base_name for f in found if f.type == pafs.FileType.File and fnmatch.fnmatchcase(f.base_name, pattern))
-    return [(n, scheme + posixpath.join(root, n)) for n in names]
+    files = [f for f in found if f.type == pafs.FileType.File and fnmatch.fnmatchcase(f.base_name, pattern)]
+    return [(f.base_name, scheme + posixpath.join(root, f.base_name), f.size, f.mtime_ns) for f in sorted(files, key=lambda f: f.base_name)]
 
 
 class Ranges:

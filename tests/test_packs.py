@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import random
+import shutil
 import tarfile
 import zipfile
 
@@ -20,6 +21,7 @@ from packlake.functions import refs
 from packlake.operators import convert, integrity, measure
 from packlake.operators.packs import Pack, read_spans, write_pack
 from packlake.plans.layout import Limits, Roller, plan
+from packlake.sources import formats
 
 BLOBS = [(i, f"dir{i % 3}/b{i:03d}.bin", bytes([i]) * (300 + 7 * i)) for i in range(40)]
 
@@ -97,6 +99,35 @@ def test_workers_are_disjoint_and_complete(pack, workers):
     assert [len(g) for g in got] == sizes
 
 
+def test_scans_of_all_workers_read_the_whole_index_once(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "media")
+    write_pack(frame(spark, BLOBS), folder, limits=Limits(3_000))
+    p, times, check = Pack(spark, folder), [], Pack.check_unique
+    monkeypatch.setattr(Pack, "check_unique", lambda self: (times.append(1), check(self)))
+    got = [r.key for w in range(7) for r in p.scan(worker=w, workers=7, payload=False).orderBy("position").collect()]
+    assert got == [k for _, k, _ in BLOBS] and len(times) == 1
+    first = min(p.paths.values())
+    shutil.copy(first, first.replace("pack-", "more-"))  # what was read of the folder no longer holds
+    with pytest.raises(PackError, match="duplicate key"):
+        p.scan(worker=0, workers=7, payload=False)
+    assert len(times) == 2
+
+
+def test_directories_of_small_shards_share_tasks(pack, monkeypatch):
+    p, _ = pack
+    assert len(p.paths) > 2 and p.index().rdd.getNumPartitions() == 1 == p.index([]).rdd.getNumPartitions()
+    assert [r.key for r in p.index().orderBy("shard", "ordinal").collect()] == [k for _, k, _ in BLOBS] and p.index([]).count() == 0
+    monkeypatch.setattr(formats, "FEWEST_BYTES", 1)
+    monkeypatch.setattr(formats, "PARTS", 3)
+    every, size = sorted(p.paths), {n: os.path.getsize(at) for n, at in p.paths.items()}
+    for most in (1, 6_000, 1 << 20):  # the last: a third of all bytes
+        monkeypatch.setattr(formats, "MOST_BYTES", most)
+        parts = [[f.name for f in x.files] for x in formats._IndexInParts({"path": p.folder}).partitions()]
+        assert [n for x in parts for n in x] == every
+        assert all(len(x) == 1 or sum(size[n] for n in x) <= min(most, sum(size.values()) // 3) for x in parts)
+        assert (len(parts) == len(every)) == (most == 1)
+
+
 def test_shuffled_scan_follows_the_seed(pack):
     p, _ = pack
     order = sorted(p.paths)
