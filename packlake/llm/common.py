@@ -51,10 +51,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def trim() -> None:
+    """Give back to the machine what this process has freed; else its allocators keep it, beside what comes later."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files and checkpoints that nothing refers to any more; else they stay until the
-    driver happens to collect its garbage."""
+    driver happens to collect its garbage. The driver's Python gives memory back, too."""
     gc.collect()
+    trim()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -88,9 +96,7 @@ def frugal(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
-                ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return wrapped
 

@@ -254,6 +254,8 @@ class Index:
                 model = Model([terms[i] for i in rest], [counts[i] for i in rest], label[rest])
                 for i in np.flatnonzero(fold == f):
                     raw[i] = self._vote(model, *model.nearest(*model.vector(model.places(terms[i]), counts[i])))
+                del model  # the driver holds one at a time
+                common.trim()
         self._fit(raw, label)
         self.model = Model(terms, counts, label)
         self.ids = np.array([ids[i] for i in by], np.int64)[self.model.order]
@@ -361,6 +363,7 @@ def score(
     if {n.lower() for n in names} & {c.lower() for c in keep}:
         raise ValueError("the table already has a column of that name")
     shared = df.sparkSession.sparkContext.broadcast(index)
+    common.trim()  # of the driver, which has built and written the index
 
     def make():
         own = shared.value

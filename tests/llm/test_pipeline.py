@@ -121,3 +121,16 @@ def test_run(spark):
     got = corpus_pipeline.run(spark, SMALL)
     assert got.select(F.count("*"), F.every("lossless")).first()[1] and np.isfinite(got.count())
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_the_driver_gives_memory_back(spark):
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    held = [b"x" * (100_000 + i % 2) for i in range(3_000)]
+    last = held.pop()  # what lies above keeps the allocator from doing so by itself
+    held.clear()
+    before = resident()
+    common.release(spark)
+    assert before - resident() > 150 and last
