@@ -31,6 +31,8 @@ PORTION = 4_000_000
 SAMPLE, MOST_COMMON = 5_000, 100_000
 #: Texts under one shingle that the others are compared with in the first round; in later ones each time 16 times more.
 HUBS = 4
+#: Bits of the filters by which tables of texts are thinned out before they are joined, at most.
+FILTER_BITS = 1 << 25
 
 
 def masks(radius: int, bits: int = BITS) -> list[int]:
@@ -301,22 +303,26 @@ def keep_one(df: DataFrame, size: int = 5, similarity: float = 0.8, radius: int
         known, counts = shared.value
 
         def run(texts):
-            n, prefix, prints = [], [], []
+            n, prefix, parity, prints = [], [], [], []
             for t in texts.to_pylist():
                 s = shingle_set(t, size)
                 n.append(len(s))
                 prefix.append(_prefix(s, similarity, known, counts).tobytes())
+                parity.append(_parity(s).tobytes())
                 prints.append(_majority(s))
-            return [pa.array(n, pa.int32()), pa.array(prefix, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            return [pa.array(n, pa.int32()), pa.array(prefix, pa.binary()), pa.array(parity, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))]
 
         return run
 
-    kinds = [("n", T.IntegerType()), ("prefix", T.BinaryType()), ("v", T.LongType())]
+    kinds = [("n", T.IntegerType()), ("prefix", T.BinaryType()), ("parity", T.BinaryType()), ("v", T.LongType())]
     prints = common.map_arrow(mine, [F.col("text").cast("binary")], kinds, make, ["id", "k1", "k2"])
-    some = [F.first(c).alias(c) for c in ("n", "prefix", "v")]
+    some = [F.first(c).alias(c) for c in ("n", "prefix", "parity", "v")]
     texts = common.checkpoint(prints.groupBy("k1", "k2").agg(F.min("id").alias("id"), *some).withColumn("node", F.col("k1")))
     common.release(df.sparkSession)
-    roots = _grouped(mine, texts.where("id is not null"), size, similarity, radius)
+    posts, pairs, heads = _candidates(texts.where("id is not null"), similarity, radius)
+    texts = common.checkpoint(texts.select("k1", "k2", "id", "node"))  # what the search needs of the rest is in heads
+    common.release(df.sparkSession)
+    roots = _grouped(mine, posts, pairs, heads, size, similarity)
     common.release(df.sparkSession)
     grouped = texts.where("id is not null").select("node", "id", "k1", "k2").join(roots, "node")
     best = grouped.groupBy("root").agg(F.min(F.struct("id", "k1", "k2")).alias("best")).select("best.*")
@@ -330,12 +336,31 @@ def keep_one(df: DataFrame, size: int = 5, similarity: float = 0.8, radius: int
     rows = common.checkpoint(rows.where("not stays or times > 1"))
     here = (key[0] == F.col(k1)) & (key[1] == F.col(k2)) & number.eqNullSafe(F.col(k3))
     columns = [common.quoted(c) for c in df.columns]
-    once = df.join(rows.select(k1, k2, k3), here, "left_anti")
+    mark = common.unique_name(df.columns, "__mark")
+    marked = _marked(df, key[0], rows.select(k1), mark)
+    named = marked.where(mark)  # only these rows are joined; the others stay
+    once = marked.where(~F.col(mark)).select(*columns).union(named.join(rows.select(k1, k2, k3), here, "left_anti").select(*columns))
     repeated = rows.where("stays").select(k1, k2, k3)
     if repeated.isEmpty():
-        return once.select(*columns)
-    again = df.join(repeated, here).dropDuplicates([k1, k2, k3])
-    return once.select(*columns).union(again.select(*columns))
+        return once
+    return once.union(named.join(repeated, here).dropDuplicates([k1, k2, k3]).select(*columns))
+
+
+def _marked(df: DataFrame, value, wanted: DataFrame, mark: str) -> DataFrame:
+    """`df` with a column `mark`, false only for rows whose `value` is not in `wanted` (one column). Both are hashes.
+
+    A filter of about 16 bits for each wanted value is broadcast, 64 bits a row. Beyond FILTER_BITS more rows are marked
+    than needed, so a mark never stands for a join; it makes the join small.
+    """
+    taken = df.columns
+    word, held = (common.unique_name(taken, f"__{c}") for c in ("word", "held"))
+    hashes = wanted.toDF("h")
+    bits = min(FILTER_BITS, 1 << max(10, (16 * hashes.count()).bit_length()))
+    word_of = lambda h: F.shiftright(h.bitwiseAND(F.lit(bits - 1)), 6)
+    bit_of = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    table = hashes.groupBy(word_of(F.col("h")).alias(word)).agg(F.bit_or(bit_of(F.col("h"))).alias(held))
+    found = F.coalesce(F.col(held).bitwiseAND(bit_of(value)) != 0, F.lit(False))
+    return df.join(F.broadcast(table), word_of(value) == F.col(word), "left").select(*[common.quoted(c) for c in taken], found.alias(mark))
 
 
 def _common_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -370,6 +395,20 @@ def _prefix(shingles: np.ndarray, similarity: float, known: np.ndarray, counts:
     return shingles[np.argsort(count, kind="stable")[:most]]
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """For each of about as many places as there are shingles, whether an odd number of them falls on it; in words of 64."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def _differ(p: np.ndarray, q: np.ndarray) -> int:
+    """In how many shingles two sets differ at least, by their parities: each shingle of one alone turns one place."""
+    while len(p) != len(q):  # half as many places: those as far apart fall together
+        p, q = (x[: len(x) // 2] ^ x[len(x) // 2 :] if len(x) > len(y) else x for x, y in ((p, q), (q, p)))
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def _spread(similarity: float):
     """For rows (node, n, prefix): (key, place, node) for each shingle of the prefix. place: n and the number of shingles
     from this one on, after a bit that is set where too few are left for it to be the first that this text shares with
@@ -414,34 +453,45 @@ def _in_company(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.array([x])) for x in held], names=names)
 
 
-def _grouped(texts: DataFrame, nodes: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
-    """(node, root) of the groups that pairs alike connect. nodes: (node, n, prefix, v) of distinct texts, v the
-    fingerprint of the set; texts: (k1, id, text) of all rows, nodes also having the smallest id and k1 of their texts.
-
-    Under every shingle some texts, the hubs, are compared with all others; what is alike falls together, and shingles
-    with texts of several groups go on with more hubs, until each has only one group or no text left that wasn't a hub.
-    So no list of all pairs is made, dense groups cost a few comparisons a text, and no pair is left out.
+def _candidates(nodes: DataFrame, similarity: float, radius: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the search for groups starts from, of nodes (node, id, n, prefix, parity, v), distinct texts with v the
+    fingerprint of the set: (key, node, n, left, late) of the shingles in prefixes that several texts share (see
+    `_spread`); the pairs (a, b) that fingerprints link; (node, id, n, parity) of the nodes in any of these.
     """
     distinct = nodes.groupBy("v").agg(F.min("node").alias("least"))
     first, second = distinct.toDF("a", "x"), distinct.toDF("b", "y")
     near = links(distinct.select("v"), radius).join(first, "a").join(second, "b").select("x", "y")
     near = near.union(nodes.join(distinct, "v").where("node != least").select("least", "node"))
     pairs = common.checkpoint(near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    common.release(nodes.sparkSession)
     spread = nodes.select("node", "n", "prefix").mapInArrow(common.frugal(_spread(similarity)), "key long, place long, node long")
     posts = common.checkpoint(spread.repartition("key").sortWithinPartitions("key", "place").mapInArrow(common.frugal(_in_company), spread.schema))
     bits = lambda c, at: F.shiftright(c, at).bitwiseAND(F.lit((1 << 31) - 1))
     posts = posts.select("key", "node", bits("place", 31).alias("n"), bits("place", 0).alias("left"), (F.col("place") >= 1 << 62).alias("late"))
     known = posts.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    common.release(texts.sparkSession)
-    heads = common.checkpoint(nodes.join(known, "node", "left_semi").select("node", "id", "n", "prefix"))
-    common.release(texts.sparkSession)
+    common.release(nodes.sparkSession)
+    heads = common.checkpoint(nodes.join(known, "node", "left_semi").select("node", "id", "n", "parity"))
+    return posts, pairs, heads
+
+
+def _grouped(texts: DataFrame, posts: DataFrame, pairs: DataFrame, heads: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(node, root) of the groups that pairs alike connect. posts, pairs, heads: see `_candidates`; texts: (k1, id, text) of
+    all rows, heads having the smallest id and k1 of their texts.
+
+    Under every shingle some texts, the hubs, are compared with all others; what is alike falls together, and shingles
+    with texts of several groups go on with more hubs, until each has only one group or no text left that wasn't a hub.
+    So no list of all pairs is made, dense groups cost a few comparisons a text, and no pair is left out.
+    """
     roots, tested, hubs = components(pairs.limit(0)), pairs.limit(0), HUBS
     while True:
-        now = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        live = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("late").alias("late"))
-        now = common.checkpoint(now.join(live.where("lo != hi and not late").select("key"), "key", "left_semi"))
-        if now.isEmpty() and hubs > HUBS:
-            return roots
+        if hubs == HUBS:  # each text is a group, and no shingle has one text alone
+            now = posts.withColumn("root", F.col("node"))
+        else:
+            now = posts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            live = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("late").alias("late"))
+            now = common.checkpoint(now.join(live.where("lo != hi and not late").select("key"), "key", "left_semi"))
+            if now.isEmpty():
+                return roots
         in_turn = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
         chosen = now.where("not late").withColumn("turn", F.row_number().over(in_turn)).where(F.col("turn") <= hubs)
         chosen = chosen.select("key", F.col("node").alias("hub"), F.col("n").alias("m"), F.col("left").alias("rest"), F.col("root").alias("hub_root"))
@@ -461,40 +511,55 @@ def _grouped(texts: DataFrame, nodes: DataFrame, size: int, similarity: float, r
 
 
 def _alike(texts: DataFrame, heads: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles are alike; heads: (node, id, n, prefix), texts: (k1, id, text).
+    """The pairs (a, b) of nodes whose sets of shingles are alike; heads: (node, id, n, parity), texts: (k1, id, text).
 
-    First by prefixes: beyond what two of them share, no more can be common than lies behind the one that ends first.
-    Whole sets are made for what is left.
+    First by parities, which tell most pairs that are not alike. Whole sets are made for what is left, and of the texts
+    only those move that these pairs may name.
     """
-    first, second = (heads.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("prefix").alias(f"s{c}")) for c in "ab")
-    close = pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb", "na", "nb")
-    close = common.checkpoint(close.mapInArrow(common.frugal(_compare(similarity)), "a long, b long"))
+    first, second = (heads.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}")) for c in "ab")
+    close = pairs.join(first, "a").join(second, "b").select("a", "b", "pa", "pb", "na", "nb")
+    close = common.checkpoint(close.mapInArrow(common.frugal(_may_be_alike(similarity)), "a long, b long"))
     common.release(texts.sparkSession)
-    wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(heads, "node").select(F.col("node").alias("k1"), "id")
+    named = close.select(F.col("a").alias("node")).union(close.select("b"))
+    wanted = named.distinct().join(heads, "node").select(F.col("node").alias("k1"), "id")
 
     def sets(batches):
         for batch in common.slices(batches):
             found = [shingle_set((t or "").encode(), size) for t in batch.column("text").to_pylist()]
-            columns = [batch.column("k1"), pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "set"])
 
-    one = texts.select("k1", "id", "text").join(wanted, ["k1", "id"], "left_semi").dropDuplicates(["k1", "id"])
-    whole = common.checkpoint(one.select("k1", "text").mapInArrow(common.frugal(sets), "id long, n int, set binary"))
+    some = _marked(texts.select("k1", "id", "text"), F.col("k1"), named, "mark").where("mark")
+    one = some.select("k1", "id", "text").join(wanted, ["k1", "id"], "left_semi").dropDuplicates(["k1", "id"])
+    whole = common.checkpoint(one.select("k1", "text").mapInArrow(common.frugal(sets), "id long, set binary"))
     common.release(texts.sparkSession)
-    both = close.join(whole.toDF("a", "na", "sa"), "a").join(whole.toDF("b", "nb", "sb"), "b").select("a", "b", "sa", "sb", "na", "nb")
+    both = close.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(common.frugal(_compare(similarity)), "a long, b long")
 
 
+def _may_be_alike(similarity: float):
+    """For rows (a, b, pa, pb, na, nb): those (a, b) whose sets, of na and nb shingles, may be alike by their parities."""
+
+    def run(batches):
+        for batch in common.slices(batches):
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            most = n + m - 2 * _least_common(n, m, similarity)
+            words = ([np.frombuffer(z.as_buffer(), np.uint64) for z in batch.column(c)] for c in ("pa", "pb"))
+            good = [_differ(p, q) <= limit for p, q, limit in zip(*words, most.tolist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _compare(similarity: float):
-    """For rows (a, b, sa, sb, na, nb): those (a, b) whose sets may be alike. sa, sb: the first shingles of sets of na and nb."""
+    """For rows (a, b, sa, sb): those (a, b) whose sets sa and sb are alike."""
 
     def run(batches):
         for batch in common.slices(batches):
             good = []
-            for x, y, n, m in zip(batch.column("sa"), batch.column("sb"), batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True):
+            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True)) + max(n - len(p), m - len(q))
-                good.append(both >= similarity * (n + m - both) - 1e-9)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run

@@ -97,6 +97,58 @@ def test_near_duplicates_odd_rows(spark):
     assert simhash.keep_one(frame.limit(0)).count() == 0
 
 
+def shuffled(spark) -> int:
+    """Bytes written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    executors = sc.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_near_duplicates_move_few_texts(spark):
+    """Of texts mostly unlike each other, those move that may have a near copy, not all of them in each round and at the end."""
+    rng = random.Random(8)
+    word = lambda: rng.randbytes(40).hex()
+    texts = [[word() for _ in range(300)] for _ in range(800)]
+    passage = [word() for _ in range(30)]
+    for i in range(100):  # under common shingles, and so in several rounds
+        texts[i][:30] = passage
+    copies = [[*x[:-1], word()] for x in texts[200:220]]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts + copies)]
+    docs = common.checkpoint(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    before = shuffled(spark)
+    got = {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()}
+    assert got == set(range(len(texts)))
+    moved = shuffled(spark) - before
+    assert 0 < moved < 0.5 * sum(len(t) for _, t in rows), moved  # hashes are most of that
+
+
+def test_parities_never_part_what_is_alike():
+    rng = np.random.default_rng(4)
+    for n, m, both in [(1, 1, 1), (1, 1, 0), (63, 66, 60), (64, 65, 64), (500, 520, 480), (1000, 1030, 1000), (1020, 5, 0), (700, 700, 0)]:
+        x = rng.choice(np.iinfo(np.int64).max, n + m - both, replace=False).astype(np.uint64) if n + m < 10 else np.unique(rng.integers(0, 2**64, n + m - both, np.uint64))
+        rng.shuffle(x)
+        a, b = x[:n], x[n - both :]
+        found = simhash._differ(simhash._parity(a), simhash._parity(b))
+        assert found == simhash._differ(simhash._parity(b), simhash._parity(a)) <= n + m - 2 * both
+        assert (found == 0) == (n + m == 2 * both)
+    assert found > 2 * 700 - 2 * simhash._least_common(700, 700, 0.8)  # and parts what shares nothing
+
+
+@pytest.mark.parametrize("most", [1 << 6, 1 << 25])
+def test_marks_leave_out_nothing_wanted(spark, monkeypatch, most):
+    """Also by a filter far too small; with clashing names."""
+    monkeypatch.setattr(simhash, "FILTER_BITS", most)
+    frame = spark.range(2000).select("id", F.xxhash64("id").alias("__word"), F.lit(1).alias("__held"), F.lit("a").alias("x.y"))
+    wanted = frame.where("id % 10 = 3").select("__word")
+    got = simhash._marked(frame, F.col("__word"), wanted, "mark")
+    assert got.columns == [*frame.columns, "mark"]
+    marks = {r.id: r.mark for r in got.select("id", "mark").collect()}
+    assert len(marks) == 2000 and all(marks[i] for i in range(3, 2000, 10))
+    assert sum(marks.values()) < 400 or most == 1 << 6
+    assert not simhash._marked(frame, F.col("__word"), wanted.limit(0), "mark").where("mark").count()
+
+
 def test_stages(spark):
     docs = common.table(spark, SMALL, "documents")
     text = {r.doc_id: r.text for r in docs.collect()}
