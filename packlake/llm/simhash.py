@@ -532,7 +532,10 @@ def _alike(texts: DataFrame, heads: DataFrame, pairs: DataFrame, size: int, simi
     one = some.select("k1", "id", "text").join(wanted, ["k1", "id"], "left_semi").dropDuplicates(["k1", "id"])
     whole = common.checkpoint(one.select("k1", "text").mapInArrow(common.frugal(sets), "id long, set binary"))
     common.release(texts.sparkSession)
-    both = close.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    # a fixed number of tasks: where sets are few, adaptive execution would give many pairs, each with two sets, to one
+    n = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), close.count() // 1000)
+    one_set = close.join(whole.toDF("a", "sa"), "a").repartition(n, "b")
+    both = one_set.join(whole.toDF("b", "sb").repartition(n, "b"), "b").select("a", "b", "sa", "sb")
     return both.mapInArrow(common.frugal(_compare(similarity)), "a long, b long")
 
 
